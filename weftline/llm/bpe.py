@@ -23,6 +23,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -274,7 +275,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: bo
         for batch in batches:
             lo = 0
             while lo < batch.num_rows:
-                n = pa.compute.fill_null(pa.compute.utf8_length(batch.column(1).slice(lo, ROWS)), 0).to_numpy(zero_copy_only=False)
+                n = pc.fill_null(pc.utf8_length(batch.column(1).slice(lo, ROWS)), 0).to_numpy(zero_copy_only=False)
                 rows = batch.slice(lo, max(1, int(np.searchsorted(np.cumsum(n), CHARS, "right"))))
                 lo += rows.num_rows
                 found = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(e.decode(p)).hexdigest(), *([np.frombuffer(p, "<u4").astype(np.int32)] * ids)) for p in e.packed(rows.column(1).to_pylist())]
