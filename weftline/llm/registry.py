@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that offer QUERIES and, where SQL can express them, ORACLES.
-MODULES = ("q_mixing", "q_language", "q_toxicity", "q_simhash", "q_bpe", "q_suffix", "q_search", "q_quality", "q_vectors")
+MODULES = ("q_mixing", "q_language", "q_toxicity", "q_simhash", "q_bpe", "q_chat", "q_suffix", "q_search", "q_quality", "q_vectors")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
