@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components, forest
-from weftline.llm.shared import cut, runs, slices
+from weftline.llm.shared import cut, mix, runs, slices
 
 #: Fingerprints in a tile, and in the piece of a tile that is compared at once.
 TILE, PIECE = 2048, 256
@@ -34,13 +34,13 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Of one text: bit b is set if it is set in over half of the shingle hashes."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a text in order, repeats included."""
     raw = LOWER[np.frombuffer(text, np.uint8)]
     start, end = runs(~BLANK[raw])
     n = len(start)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     # words joined by one blank each: word k of n starts at its start less the blanks dropped before it
     gap = np.maximum(start - np.concatenate(([start[0]], end[:-1])) - 1, 0)
     off = start[0] + np.cumsum(gap)
@@ -49,16 +49,25 @@ def fingerprint(text: bytes, width: int) -> int:
     raw[end[:-1]] = 32
     joined = raw[keep].tobytes()
     start, end = (start - off).tolist(), (end - off).tolist()
-    if n <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[i:j], 42) for i, j in zip(start, end[width - 1 :])), np.uint64, n - width + 1)  # noqa: B905
+    if n <= width:
+        return np.array([digest(joined, 42)], np.uint64)
+    return np.fromiter((digest(joined[i:j], 42) for i, j in zip(start, end[width - 1 :])), np.uint64, n - width + 1)  # noqa: B905
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 4096):
         ones += np.unpackbits(h[lo : lo + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """Of one text: bit b is set if it is set in over half of the shingle hashes."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, *, width: int = 5, text: str = "text") -> DataFrame:
     """(doc_id, fp) for each row of docs; fp is the fingerprint's bits as a signed long."""
 
@@ -87,12 +96,16 @@ def layout(n: int, radius: int) -> list[int]:
 def near(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
     """Index pairs (into a, and into a or len(a) + b) within the radius; of a dense set, a spanning part.
 
-    Both are compared piece by piece in the order of their population counts.
+    Rows are fingerprints of one 64-bit word or more. Both sides are compared piece by
+    piece in the order of their population counts; of several words, the later half is
+    looked at only where the first half is within the radius.
     """
     both = a if b is None else np.concatenate([a, b])
-    ones = np.bitwise_count(both).astype(np.int64)
+    both = both.reshape(len(both), -1)
+    ones = np.bitwise_count(both).sum(1, dtype=np.int64)
     left = np.argsort(ones[: len(a)], kind="stable")
     right = left if b is None else len(a) + np.argsort(ones[len(a) :], kind="stable")
+    head = (both.shape[1] + 1) // 2
     found = np.zeros((0, 2), np.int64)
     for i in range(0, len(left), PIECE):
         x = left[i : i + PIECE]
@@ -102,8 +115,14 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
                 break
             if ones[y[-1]] < ones[x[0]] - radius:
                 continue
-            p, q = np.nonzero(np.bitwise_count(both[x][:, None] ^ both[y][None, :]) <= radius)
+            off = np.bitwise_count(both[x, 0][:, None] ^ both[y, 0][None, :])
+            for w in range(1, head):
+                off = off + np.bitwise_count(both[x, w][:, None] ^ both[y, w][None, :])
+            p, q = np.nonzero(off <= radius)
             p, q = x[p], y[q]
+            if both.shape[1] > head:
+                yes = np.bitwise_count(both[p] ^ both[q]).sum(1, dtype=np.int64) <= radius
+                p, q = p[yes], q[yes]
             new = np.stack([p, q], 1)[p != q]
             if len(new):
                 found = np.concatenate([found, new])
@@ -137,10 +156,21 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     # a unit by 128 bits of hash, so that the rows are plain numbers
     dealt = work.select(F.xxhash64("band", "key", "unit").alias("g"), F.xxhash64(F.lit("unit"), "band", "key", "unit").alias("g2"), F.col("side").cast("long").alias("side"), "fp").repartition("g").sortWithinPartitions("g", "g2")
 
+    return compared(dealt, 1, radius)
+
+
+def compared(dealt: DataFrame, n: int, radius: int) -> DataFrame:
+    """(a, b) from units (g, g2, side, node, n words of fingerprint), each unit's rows together and in order.
+
+    Rows of side 1, if there are any, are compared with those of side 0, or else these
+    with each other. node and the word are one column where the word is the node.
+    """
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 4), np.int64)
+        rest = np.zeros((0, 4 if n == 1 else 4 + n), np.int64)
         for block, last in with_last(batches):
-            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in block.columns], 1)]) if block is not None else rest
+            rows = np.stack([c.to_numpy() for c in block.columns], 1) if block is not None else rest
+            rows = np.concatenate([rest, rows]) if block is not None and len(rest) else rows
             edge = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1
             bounds = np.concatenate(([0], edge, [len(rows)]))
             whole = bounds if last else bounds[:-1]  # the last group may go on in the next batch
@@ -151,11 +181,10 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
                 g = rows[lo:hi]
                 one = g[:, 2] == 0
                 a, b = g[one], g[~one]
-                both = np.concatenate([a[:, 3], b[:, 3]])
-                fp = [np.ascontiguousarray(x[:, 3]).view(np.uint64) if len(x) else None for x in (a, b)]
-                if fp[0] is not None:
-                    out.append(both[near(fp[0], fp[1], radius)])
-            rest = rows[whole[-1] :] if len(whole) else rows
+                if len(a):
+                    fp = [np.ascontiguousarray(x[:, -n:]).view(np.uint64) if len(x) else None for x in (a, b)]
+                    out.append(np.concatenate([a[:, 3], b[:, 3]])[near(fp[0], fp[1], radius)])
+            rest = rows[whole[-1] :]
             found = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -191,3 +220,79 @@ def simhash_components(docs: DataFrame, *, width: int = 5, radius: int = 4, text
     names = parts.groupBy("part").agg(F.min("rep").alias("component_id"))
     named = parts.join(names, "part").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# The rest is for texts that share most of their shingles but not nearly all, whose
+# fingerprints of 64 bits differ in too many to tell them from strangers.
+
+#: Words of a wide fingerprint, and the radius that stands for a Jaccard similarity of 0.8
+#: (of pairs that share 0.8 or more of their distinct five-word shingles it finds nearly all,
+#: of those that share 0.6 to 0.7 a tenth, and none of strangers).
+WIDE, WIDE_RADIUS = 4, 45
+#: Wide fingerprints in a tile.
+WIDE_TILE = 4096
+
+
+def wide_fingerprint(text: bytes, width: int) -> tuple[list[int], int]:
+    """WIDE words from the distinct shingles, and the number of these."""
+    h = np.unique(shingle_hashes(text, width))
+    salts = [np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(WIDE)]
+    return [majority(mix(h + salt) if k else h) for k, salt in enumerate(salts)], len(h)
+
+
+def wide_components(docs: DataFrame, *, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """The rows of docs without the text, with its hashes t1 and t2, and part: one number for each group of near-duplicates.
+
+    Texts whose counts of distinct shingles differ by more than a quarter aren't
+    compared: they can't be similar to 0.8. Every other pair is, in tiles; the work is
+    the square of the number of different fingerprints in a size class (a ratio of 1.25).
+    Texts without a word are one group, as equal texts are.
+    """
+    words = [f"f{k}" for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, sizes = np.zeros((batch.num_rows, WIDE), np.uint64), np.zeros(batch.num_rows, np.int64)
+            for lo, hi, data, at in slices(batch.column(2)):
+                for i in range(hi - lo):
+                    out[lo + i], sizes[lo + i] = wide_fingerprint(data[at[i] : at[i + 1]].tobytes(), width)
+            level = np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.25)).astype(np.int64)
+            level[sizes == 0] = -1
+            signed = out.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(level), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(WIDE))], ["t1", "t2", "level", *words])
+
+    keyed = docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
+    prints = cut(keyed.select("t1", "t2", F.col("text").cast("string")).mapInArrow(run, "t1 long, t2 long, level long, " + ", ".join(f"{w} long" for w in words)).distinct())
+    nodes = cut(prints.groupBy("level", *words).agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    sizes = nodes.groupBy("level").agg(F.expr(f"cast(ceil(count(1) / {WIDE_TILE}) as int)").alias("cuts"))
+    # a level for each ratio of 1.25 in length: a few hundred rows at the very most
+    plan = sizes.agg(F.map_from_entries(F.collect_list(F.struct("level", "cuts"))).alias("cuts"))
+    tile = F.expr("cast(pmod(xxhash64(node), cuts[level]) as int)")
+    units = F.expr(
+        """concat(
+        transform(sequence(0, cuts[level] - 1), p -> named_struct('unit', concat_ws('.', level, level, least(p, tile), greatest(p, tile)), 'side', if(p < tile, 1, 0))),
+        if(cuts[level + 1] is null, cast(array() as array<struct<unit: string, side: int>>), transform(sequence(0, coalesce(cuts[level + 1], 1) - 1), p -> named_struct('unit', concat_ws('.', level, level + 1, tile, p), 'side', 0))),
+        if(cuts[level - 1] is null, cast(array() as array<struct<unit: string, side: int>>), transform(sequence(0, coalesce(cuts[level - 1], 1) - 1), p -> named_struct('unit', concat_ws('.', level - 1, level, p, tile), 'side', 1))))"""
+    )
+    work = nodes.join(F.broadcast(plan)).withColumn("tile", tile).select("node", *words, F.explode(units).alias("u"))
+    dealt = work.select(F.xxhash64("u.unit").alias("g"), F.xxhash64(F.lit("unit"), "u.unit").alias("g2"), F.col("u.side").cast("long").alias("side"), "node", *words).repartition("g").sortWithinPartitions("g", "g2")
+    found = components(compared(dealt, WIDE, radius)).withColumnsRenamed({"id": "node", "component": "part"})
+    parts = nodes.join(found, "node", "left").select("level", *words, F.coalesce("part", "node").alias("part"))
+    named = prints.join(parts, ["level", *words]).select("t1", "t2", "part")
+    return keyed.drop("text").join(named, ["t1", "t2"])
+
+
+def distinct_documents(docs: DataFrame, *, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """One row of docs, with its own columns, for each group of near-duplicate texts: that of the smallest id.
+
+    Ties of ids (repeated rows) go to the row that sorts first by its other columns'
+    hash; a null id sorts last, a null text is the empty one.
+    """
+    hashable = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
+    tie, text = F.xxhash64(F.lit("tie"), *hashable), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(*(F.col(c).alias(f"c_{c}") for c in docs.columns), text.alias("text"), tie.alias("tie"))
+    slim = wide_components(own.select("c_doc_id", "tie", "text"), width=width, radius=radius)
+    least = slim.groupBy("part").agg(F.min(F.struct(F.col("c_doc_id").isNull(), "c_doc_id", "tie", "t1", "t2")).alias("least")).select("least.tie", "least.t1", "least.t2")
+    keyed = own.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
+    kept = keyed.join(least, ["tie", "t1", "t2"], "left_semi")
+    return kept.dropDuplicates(["tie", "t1", "t2"]).select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))
