@@ -43,8 +43,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     """(doc_id, text, y): about ``most`` labelled rows of the training folds at most, with their whole texts.
 
     The ids of the sample, of which there are so many at most in expectation, are
-    broadcast; the texts aren't shuffled. An id labelled more than once is 1 if any says so.
+    broadcast. An id labelled more than once is 1 if any says so; of rows that share an
+    id the least text counts, so repeats don't widen the sample. All is in one partition.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold() != 2)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).where("y in (0, 1)")
     chosen = sample_rows(rows, most)
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")

@@ -31,7 +31,6 @@ EVIDENCE = 64
 #: Characters handled at a time, about.
 CHARS = 1_000_000
 BLANK = 32
-FOLD = np.uint64(0xFFFF)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,7 +54,8 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (c[1:] != BLANK) | (c[:-1] != BLANK)
     c = c[keep]
     owner = np.cumsum(c == 0) // (ORDER - 1) - 1
-    return (c.astype(np.uint64) & FOLD), owner
+    # letters beyond the basic plane share its private-use places
+    return np.where(c > 0xFFFF, 0xE000 + c % 0x1900, c).astype(np.uint64), owner
 
 
 def grams(c: np.ndarray, order: int, at: np.ndarray) -> np.ndarray:
@@ -185,7 +185,8 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> Models:
         return Models([])
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 30))
     share = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, 1.1 * TEXTS / n) * (1 << 30)))))
-    sample = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).withColumn("test", F.pmod(F.xxhash64(F.lit("test"), "doc_id", "text"), F.lit(11)) == 0)
+    # a row that repeats counts once, so the sample stays bounded
+    sample = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).select("doc_id", "text", "lang").distinct().withColumn("test", F.pmod(F.xxhash64(F.lit("test"), "doc_id", "text"), F.lit(11)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
-The documents of a source, in an order fixed by a hash of their ids, form blocks of
+The documents of a source, in an order fixed by a hash of their rows, form blocks of
 ``block`` documents. Time is counted in slots, one block each. Source s with weight
 W of a total Q gives its b-th block (from 0) the window from floor(b * Q / W) to
 ceil((b + 1) * Q / W); of the blocks released, the one with the earliest deadline
@@ -19,9 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents of a source are numbered within so many hash buckets, then by the buckets' counts.
-BUCKETS = 4096
-
 
 def weights(counts: DataFrame, target: dict[str, int] | None, quantum: int) -> DataFrame:
     """(src, n, w): integer weights of about ``quantum`` in all, 1 at least.
@@ -60,13 +57,13 @@ def schedule(sources: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, *, target: dict[str, int] | None = None, quantum: int = 1000, block: int = 16, key: str = "doc_id", source: str = "source") -> DataFrame:
     """docs with mix_block, mix_release, mix_due, mix_slot (from 0) and mix_position (1 to the number of rows).
 
-    Every row of docs comes back once. Null is a source of its own; rows with one id, or
-    a null id, are ordered by the hash of their other columns, and rows that are equal
-    throughout are interchangeable. An empty table gives an empty table. target maps
+    Every row of docs comes back once. Null is a source of its own. Rows of a source are
+    ordered by the md5 of key, source and other columns as text, so rows with one id, or a
+    null id, are spread too; rows that are equal throughout are interchangeable. An empty table gives an empty table. target maps
     sources to integer weights; those it doesn't name weigh 1.
 
-    Shuffles: the rows once by (source, hash bucket), so a source of any size is spread
-    over BUCKETS groups; counts of groups; a row for each source.
+    Shuffles: the rows once by (source, three digits of the hash), so a source of any size
+    is spread over 4,096 groups; counts of groups; a row for each source.
     """
     own = {"src", "sub", "h", "lead", "w", "q", "all_w", "all_n", "slots", "before", "k", "n", "b", "cyc", "i", "mix_block", "mix_release", "mix_due", "mix_slot", "mix_position"}
     if clash := own & set(docs.columns):  # the caller's columns of those names come back last
@@ -74,11 +71,12 @@ def mixed(docs: DataFrame, *, target: dict[str, int] | None = None, quantum: int
         out = mixed(docs.withColumnsRenamed(renamed), target=target, quantum=quantum, block=block, key=renamed.get(key, key), source=renamed.get(source, source))
         return out.withColumnsRenamed({v: k for k, v in renamed.items() if not k.startswith("mix_")})
     src = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
-    rows = docs.withColumn("src", src).withColumn("h", F.xxhash64(F.col(key))).withColumn("sub", F.pmod(F.col("h"), F.lit(BUCKETS)))
+    hashable = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
+    texts = [F.col(c).cast("string") for c in [key, source, *(c for c in hashable if c not in (key, source))] if c in hashable]
+    rows = docs.withColumn("src", src).withColumn("h", F.md5(F.concat_ws("|", *texts))).withColumn("sub", F.substring("h", 1, 3))
     groups = rows.groupBy("src", "sub").agg(F.count(F.lit(1)).alias("n"))
     lead = groups.withColumn("lead", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).select("src", "sub", "lead")
     plan = schedule(weights(groups.groupBy("src").agg(F.sum("n").alias("n")), target, quantum))
-    hashable = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
     nth = F.row_number().over(Window.partitionBy("src", "sub").orderBy("h", key, F.xxhash64(*hashable)))
     ranked = rows.withColumn("k", nth).join(lead, ["src", "sub"]).withColumn("k", F.col("k") - 1 + F.col("lead"))
     placed = ranked.join(plan.withColumnRenamed("n", "n_src"), "src").withColumn("b", F.expr(f"k div {block}")).withColumn("cyc", F.expr("b div w")).withColumn("i", F.expr("cast(b % w as int)"))

@@ -104,8 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int
             m = train(iter(seen))
             yield pd.DataFrame({"weight": [m.weight.tobytes()], "bias": [m.bias]})
 
-    dealt = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    found = dealt.select("text", "y").mapInPandas(run, "weight binary, bias double").collect()
+    found = sample.select("text", "y").mapInPandas(run, "weight binary, bias double").collect()
     return Model(np.frombuffer(found[0].weight, np.float32), found[0].bias) if found else Model(np.zeros(1 << BITS), 0.0)
 
 

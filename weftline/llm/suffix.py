@@ -4,8 +4,9 @@
    least hash of the GRAM-byte strings in it. Equal windows have equal such anchors,
    wherever they stand. A run of neighbouring starts with one anchor is a fragment;
    every window is in just one fragment.
-2. Anchors met once can't hold a repeated window and go. Of the rest, fragments that
-   occur twice or more as a whole are repeated throughout.
+2. An anchor met in one fragment alone can't hold a repeated window, unless the fragment
+   repeats itself, and goes. Of the rest, fragments that occur twice or more as a whole
+   are repeated throughout.
 3. The distinct fragments left under an anchor meet with their bytes, and a suffix
    array finds the windows they share: two-stage sorting (only suffixes smaller than
    their successors are compared, the others are induced by bucket scans), then the
@@ -51,16 +52,24 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def fragments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(row, start, run, anchor, hash) of the fragments of concatenated texts; start counts from the row's text."""
+    """(row, start, run, anchor, hash, again) of the fragments of concatenated texts; start counts from the row's text.
+
+    again: the fragment may hold a window twice. Of two equal windows in it, the first
+    holds its first anchor before the other begins, and the second its last anchor past
+    the first's end: the anchor starts a window and ends a window, at two places.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
     gram = min(GRAM, length)
     prefix = prefix_hash(data)
     begin = np.arange(len(data) - gram + 1)
-    anchor = sliding_min(span_hash(prefix, begin, begin + gram), length - gram + 1)
+    grams = span_hash(prefix, begin, begin + gram)
+    anchor = sliding_min(grams, length - gram + 1)
     del begin
     n = len(anchor)
+    first, last = np.flatnonzero(grams[:n] == anchor), np.flatnonzero(grams[length - gram :] == anchor)
+    del grams
     size = np.diff(at)
     # starts whose window lies within one text
     step = np.zeros(n + 1, np.int64)
@@ -81,7 +90,9 @@ def fragments(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
     begin = np.repeat(cuts, parts) + nth * RUN
     end = np.minimum(begin + RUN, np.repeat(ends, parts))
     row = np.searchsorted(at, begin, "right") - 1
-    return row, begin - at[row], end - begin, anchor[begin], span_hash(prefix, begin, end + length - 1)
+    a, b = np.append(first, n)[np.searchsorted(first, begin)], np.append(-1, last)[np.searchsorted(last, end)]
+    again = (a < end) & (b >= begin) & (a != b + length - gram)
+    return row, begin - at[row], end - begin, anchor[begin], span_hash(prefix, begin, end + length - 1), again
 
 
 def pieces(texts: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -212,17 +223,17 @@ def shared_windows(t: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
 
 
 def scan(docs: DataFrame, length: int) -> DataFrame:
-    """(t1, t2, start, run, anchor, frag) of docs (t1, t2, text)."""
+    """(t1, t2, start, run, anchor, frag, again) of docs (t1, t2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, off, data, at in pieces(batch.column(2), length):
-                row, start, n, anchor, h = fragments(data, at, length)
-                out = [t1[lo + row], t2[lo + row], start + off, n, anchor.view(np.int64), h.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["t1", "t2", "start", "run", "anchor", "frag"])
+                row, start, n, anchor, h, again = fragments(data, at, length)
+                out = [t1[lo + row], t2[lo + row], start + off, n, anchor.view(np.int64), h.view(np.int64), again]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["t1", "t2", "start", "run", "anchor", "frag", "again"])
 
-    return docs.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, start long, run long, anchor long, frag long")
+    return docs.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, start long, run long, anchor long, frag long, again boolean")
 
 
 def extract(wanted: DataFrame, length: int) -> DataFrame:
@@ -277,7 +288,7 @@ def arrays(met: DataFrame, length: int) -> DataFrame:
                 continue
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][4] != r[4]:
-                    held += group if len(group) > 1 else []
+                    held += group
                     group = []
                     if size >= ARRAY_BYTES:
                         if held:
@@ -285,7 +296,7 @@ def arrays(met: DataFrame, length: int) -> DataFrame:
                         held, size = [], 0
                 group.append(r)
                 size += len(r[6])
-        held += group if len(group) > 1 else []
+        held += group
         yield pack(list(solve(held)) if held else [])
 
     dealt = met.select("t1", "t2", "start", "run", "anchor", "n", "raw").repartition("anchor").sortWithinPartitions("anchor")
@@ -321,7 +332,7 @@ def with_spans(docs: DataFrame, length: int, text: str) -> DataFrame:
     slim = keyed.select("t1", "t2", "text", F.xxhash64(F.lit("row"), *others).alias("rid"))
     copies = cut(slim.select("t1", "t2", "rid", F.octet_length("text").alias("bytes")).groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("m"), F.max("bytes").alias("bytes"), F.min("rid").alias("only")).where(f"m > 1 and bytes >= {length}"))
     found = scan(slim, length)
-    anchors = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("frag").alias("lo"), F.max("frag").alias("hi")).where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("various")))
+    anchors = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("frag").alias("lo"), F.max("frag").alias("hi"), F.max("again").alias("again")).where("c > 1 or again").select("anchor", F.expr("c = 1 or lo != hi").alias("various")))
     again = written(found.join(anchors, "anchor").select("t1", "t2", "start", "run", "anchor", "frag", "various"))
     plain = again.where("not various").select("t1", "t2", F.col("start").alias("s"), (F.col("start") + F.col("run") + length - 1).alias("e"))
     various = again.where("various")

@@ -107,8 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int =
             m = train(seen)
             yield pd.DataFrame({"bucket": [m.bucket.tolist()], "weight": [m.weight.tolist()], "bias": [m.bias]})
 
-    dealt = labelled(docs, labels, label, rows).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    found = dealt.select("text", "y").mapInPandas(run, "bucket array<long>, weight array<double>, bias double").collect()
+    found = labelled(docs, labels, label, rows).select("text", "y").mapInPandas(run, "bucket array<long>, weight array<double>, bias double").collect()
     if not found:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     return Model(np.array(found[0].bucket, np.int64), np.array(found[0].weight), found[0].bias)
