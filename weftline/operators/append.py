@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.engine import Config, Pool, generate, pool_of, synthetic
 from weftline.sources.model import Schema, Table
 
 #: Rows a parent that isn't grown itself lends as a pool.
@@ -23,8 +24,23 @@ def next_id(df: DataFrame, column: str) -> int:
 
 def pool(df: DataFrame, table: Table, columns: list[str]) -> DataFrame:
     """(rank, columns): the first PARENTS rows by primary key, ranked. Bounded, so one task numbers them."""
-    from pyspark.sql import Window
-
     order = list(table.primary) or columns
     some = df.select(*dict.fromkeys([*order, *columns])).orderBy(*order).limit(PARENTS)
     return some.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("rank", *columns)
+
+
+def append(spark: SparkSession, schema: Schema, frames: dict[str, DataFrame], config: Config) -> dict[str, DataFrame]:
+    """New rows for the tables that config.rows names, none of whose keys are taken.
+
+    Grown tables number on from their largest id; tables that aren't grown lend their
+    first PARENTS rows as parents, and nothing else is generated.
+    """
+    grown = targets(schema, config.rows)
+    pools: dict[str, Pool] = {}
+    for key in {f.parent for k in grown for f in schema.tables[k].foreign} - set(grown):
+        t = schema.tables.get(key)
+        if t is not None and key in frames:
+            some = frames[key].orderBy(*(t.primary or t.names())).limit(PARENTS)
+            pools[key] = pool_of(some, t, min(PARENTS, frames[key].count()))
+    starts = {k: next_id(frames[k], synthetic(schema.tables[k])) for k in grown if k in frames and synthetic(schema.tables[k])}
+    return generate(spark, schema, config, only=grown, pools=pools, starts=starts, taken={k: frames[k] for k in grown if k in frames})

@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows behind a reliable checkpoint in spark.checkpoint.dir; a folder is set only where none is."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where none is set."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows behind a reliable checkpoint."""
+    folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, read again."""
+    path = f"{folder(df.sparkSession).rstrip('/')}/weftline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
