@@ -27,10 +27,12 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from weftline.llm.shared import tidied
+
 #: Once more than so many distinct pre-tokens are remembered, a worker forgets them all before its next batch.
-KEPT = 600_000
+KEPT = 200_000
 #: Texts split, merged and digested at a time: so many rows, or fewer of about so many characters.
-ROWS, CHARS = 4096, 8_000_000
+ROWS, CHARS = 2048, 4_000_000
 #: Pre-tokens of up to so many bytes are merged side by side.
 LANE = 40
 NONE = np.int32(2**31 - 1)
@@ -282,4 +284,4 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: bo
                 out = [rows.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(tidied(run), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import fold
+from weftline.llm.shared import fold, tidied
 
 ORDER = 4
 #: Sample texts of a language that are counted, at most (in expectation); a tenth more calibrate.
@@ -197,7 +197,7 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> Models:
                     g, n = np.unique(grams(c, ORDER, np.flatnonzero(c)), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    found = sample.where("not test").select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.where("not test").select("text", "lang").mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names, gram, n = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     counts = {}
     for name in languages:
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> Models:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["lang", "ce"])
 
-    tested = sample.where("test").select("text", "lang").mapInArrow(measure, "lang long, ce double").toArrow()
+    tested = sample.where("test").select("text", "lang").mapInArrow(tidied(measure), "lang long, ce double").toArrow()
     own, ce = tested.column("lang").to_numpy(), tested.column("ce").to_numpy()
     for j in range(len(languages)):
         if (own == j).any():
@@ -246,7 +246,7 @@ def predicted(docs: DataFrame, models: Models, *, text: str = "text") -> DataFra
                         ok[lo + i] = low[i] <= m.limit[best[i]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), pa.array(score), pa.array(entropy, mask=np.isnan(entropy)), pa.array(ok)], ["doc_id", "lang_pred", "score", "entropy", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, entropy double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double, entropy double, accepted boolean")
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.features import labelled, words
-from weftline.llm.shared import fold, mix, slices
+from weftline.llm.shared import fold, mix, slices, tidied
 
 BITS, DIM, GRAM = 16, 8, 3
 #: Labelled rows the model is fitted on, at most (in expectation); passes over them; rate at the start.
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int
             m = train(iter(seen))
             yield pd.DataFrame({"weight": [m.weight.tobytes()], "bias": [m.bias]})
 
-    found = sample.select("text", "y").mapInPandas(run, "weight binary, bias double").collect()
+    found = sample.select("text", "y").mapInPandas(tidied(run), "weight binary, bias double").collect()
     return Model(np.frombuffer(found[0].weight, np.float32), found[0].bias) if found else Model(np.zeros(1 << BITS), 0.0)
 
 
@@ -112,15 +112,17 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """docs with quality_score (0 to 1); the model, of fixed size, is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
             out = np.zeros(len(part))
-            for lo, hi, data, at in slices(pa.array(part, pa.string())):
+            for lo, hi, data, at in slices(part):
                 out[lo:hi] = held.value.score(data, at)
-            yield pd.Series(out)
+            yield pa.array(out)
 
-    score.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    whole = tidied(score)
+    whole.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    del whole.__wrapped__
+    score = F.arrow_udf(whole, "double")
     return docs.withColumn("quality_score", score(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import cut
+from weftline.llm.shared import cut, tidied
 from weftline.llm.simhash import with_last
 from weftline.llm.vectors import matrix
 
@@ -85,7 +85,7 @@ def top_k(rows: DataFrame, queries: DataFrame, *, k: int = 20, key: str = "vec_i
         left = q.select(part(nq).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("o"), F.lit(0).cast("long").alias("side"), "id", "vec").select((F.col("p") * nv + F.col("o")).alias("unit"), "side", "id", "vec")
         right = v.select(part(nv).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("o"), F.lit(1).cast("long").alias("side"), "id", "vec").select((F.col("o") * nv + F.col("p")).alias("unit"), "side", "id", "vec")
         met = left.union(right).repartition("unit").sortWithinPartitions("unit", "side")
-        found = met.mapInArrow(lambda batches: search(batches, k), "query_id long, vec_id long, score long")
+        found = met.mapInArrow(tidied(lambda batches: search(batches, k)), "query_id long, vec_id long, score long")
         out = found if out is None else out.union(found)
     if out is None:
         return base.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).where("false")

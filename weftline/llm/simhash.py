@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components, forest
-from weftline.llm.shared import cut, mix, runs, slices
+from weftline.llm.shared import cut, mix, runs, slices, tidied
 
 #: Fingerprints in a tile, and in the piece of a tile that is compared at once.
 TILE, PIECE = 2048, 256
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, *, width: int = 5, text: str = "text") -> Data
                     out[lo + i] = fingerprint(data[at[i] : at[i + 1]].tobytes(), width)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def layout(n: int, radius: int) -> list[int]:
@@ -188,7 +188,7 @@ def compared(dealt: DataFrame, n: int, radius: int) -> DataFrame:
             found = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(tidied(compare), "a long, b long")
 
 
 def with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, bool]]:
@@ -262,7 +262,7 @@ def wide_components(docs: DataFrame, *, width: int = 5, radius: int = WIDE_RADIU
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(level), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(WIDE))], ["t1", "t2", "level", *words])
 
     keyed = docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
-    prints = cut(keyed.select("t1", "t2", F.col("text").cast("string")).mapInArrow(run, "t1 long, t2 long, level long, " + ", ".join(f"{w} long" for w in words)).distinct())
+    prints = cut(keyed.select("t1", "t2", F.col("text").cast("string")).mapInArrow(tidied(run), "t1 long, t2 long, level long, " + ", ".join(f"{w} long" for w in words)).distinct())
     nodes = cut(prints.groupBy("level", *words).agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
     sizes = nodes.groupBy("level").agg(F.expr(f"cast(ceil(count(1) / {WIDE_TILE}) as int)").alias("cuts"))
     # a level for each ratio of 1.25 in length: a few hundred rows at the very most

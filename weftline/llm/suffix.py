@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import cut, prefix_hash, slices, span_hash, written
+from weftline.llm.shared import cut, prefix_hash, slices, span_hash, tidied, written
 from weftline.llm.simhash import with_last
 
 GRAM = 24
 #: Starts in a fragment at most.
 RUN = 256
 #: Distinct fragments of an anchor that one suffix array takes; bytes in one suffix array, about.
-HOT, ARRAY_BYTES = 20_000, 3 << 20
+HOT, ARRAY_BYTES = 20_000, 3 << 19
 #: A text is scanned in pieces of so many bytes, overlapping by a window.
-PIECE = 2 << 20
+PIECE = 1 << 20
 SEPARATOR = 255  # never in UTF-8
 
 
@@ -233,7 +233,7 @@ def scan(docs: DataFrame, length: int) -> DataFrame:
                 out = [t1[lo + row], t2[lo + row], start + off, n, anchor.view(np.int64), h.view(np.int64), again]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["t1", "t2", "start", "run", "anchor", "frag", "again"])
 
-    return docs.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, start long, run long, anchor long, frag long, again boolean")
+    return docs.select("t1", "t2", "text").mapInArrow(tidied(run), "t1 long, t2 long, start long, run long, anchor long, frag long, again boolean")
 
 
 def extract(wanted: DataFrame, length: int) -> DataFrame:
@@ -255,7 +255,7 @@ def extract(wanted: DataFrame, length: int) -> DataFrame:
             own = [pa.array(batch.column(k).to_numpy()[owner]) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([*own, *cols, pa.array(raws, pa.binary())], ["t1", "t2", *fields, "raw"])
 
-    return wanted.select("text", "t1", "t2", "frags").mapInArrow(run, "t1 long, t2 long, start long, run long, anchor long, frag long, n long, hot boolean, raw binary")
+    return wanted.select("text", "t1", "t2", "frags").mapInArrow(tidied(run), "t1 long, t2 long, start long, run long, anchor long, frag long, n long, hot boolean, raw binary")
 
 
 def arrays(met: DataFrame, length: int) -> DataFrame:
@@ -300,7 +300,7 @@ def arrays(met: DataFrame, length: int) -> DataFrame:
         yield pack(list(solve(held)) if held else [])
 
     dealt = met.select("t1", "t2", "start", "run", "anchor", "n", "raw").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "t1 long, t2 long, s long, e long")
+    return dealt.mapInArrow(tidied(run), "t1 long, t2 long, s long, e long")
 
 
 def by_window(met: DataFrame, length: int) -> DataFrame:
@@ -319,7 +319,7 @@ def by_window(met: DataFrame, length: int) -> DataFrame:
                 out = [np.repeat(t1, n), np.repeat(t2, n), np.repeat(start, n) + nth, np.repeat(anchor, n), np.repeat(times, n), span_hash(prefix, begin, begin + length).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["t1", "t2", "s", "anchor", "n", "h"])
 
-    each = met.select("t1", "t2", "start", "run", "anchor", "n", "raw").mapInArrow(run, "t1 long, t2 long, s long, anchor long, n long, h long")
+    each = met.select("t1", "t2", "start", "run", "anchor", "n", "raw").mapInArrow(tidied(run), "t1 long, t2 long, s long, anchor long, n long, h long")
     repeated = each.groupBy("anchor", "h").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "h")
     return each.where("n = 1").join(repeated, ["anchor", "h"], "left_semi").select("t1", "t2", "s", (F.col("s") + length).alias("e"))
 
@@ -391,7 +391,7 @@ def digests(docs: DataFrame, *, length: int = 200, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names) if out else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, [pa.int64(), *kinds], strict=True))))
 
     slim = docs.select(docs["doc_id"].cast("long"), docs[text].alias("text"))
-    return with_spans(slim, length, "text").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(slim, length, "text").select("doc_id", "text", "spans").mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, *, length: int = 200, text: str = "text") -> DataFrame:
@@ -399,9 +399,11 @@ def cleaned(docs: DataFrame, *, length: int = 200, text: str = "text") -> DataFr
     inner = docs.withColumnsRenamed({c: f"c_{c}" for c in docs.columns})
     joined = with_spans(inner, length, f"c_{text}")
 
-    @F.pandas_udf("string")
-    def strip(texts, spans):  # noqa: ANN001, ANN202
-        return texts.combine(spans, lambda t, x: t if x is None or not len(x) else kept_bytes(t, union_of(list(x))).decode("utf-8", "ignore"))
+    def strip(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        return pa.array([t if not x else kept_bytes(t, union_of(x)).decode("utf-8", "ignore") for t, x in pairs], pa.string())
 
+    strip.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
+    strip = F.arrow_udf(strip, "string")
     new = F.when(F.col("spans").isNull(), F.col(f"c_{text}")).otherwise(strip("text", "spans"))
     return joined.select(*(new.alias(c) if c == text else F.col(f"c_{c}").alias(c) for c in docs.columns))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.features import labelled, lowered, pair, words
-from weftline.llm.shared import fold, slices
+from weftline.llm.shared import fold, slices, tidied
 
 BITS = 20
 #: Labelled rows the model is fitted on, at most (in expectation), and passes over them.
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int =
             m = train(seen)
             yield pd.DataFrame({"bucket": [m.bucket.tolist()], "weight": [m.weight.tolist()], "bias": [m.bias]})
 
-    found = labelled(docs, labels, label, rows).select("text", "y").mapInPandas(run, "bucket array<long>, weight array<double>, bias double").collect()
+    found = labelled(docs, labels, label, rows).select("text", "y").mapInPandas(tidied(run), "bucket array<long>, weight array<double>, bias double").collect()
     if not found:
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     return Model(np.array(found[0].bucket, np.int64), np.array(found[0].weight), found[0].bias)
@@ -130,5 +130,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 out[lo:hi] = held.value.score(data, at)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(tidied(run), "doc_id long, score double")
     return out.select("doc_id", (fold() == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))

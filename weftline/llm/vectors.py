@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components, forest
-from weftline.llm.shared import cut, sample_rows
+from weftline.llm.shared import cut, sample_rows, tidied
 from weftline.llm.simhash import with_last
 
 TILE, PIECE = 4096, 512
@@ -110,7 +110,7 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(d[np.arange(len(d)), home])], ["cell", "d"])
 
     rings, sizes = np.full((k, 2), [np.inf, -np.inf]), np.zeros((k, 2), np.int64)
-    for c, count, lo, hi in nodes.select("vec").mapInArrow(homes, "cell long, d double").groupBy("cell").agg(F.count(F.lit(1)), F.min("d"), F.max("d")).collect():
+    for c, count, lo, hi in nodes.select("vec").mapInArrow(tidied(homes), "cell long, d double").groupBy("cell").agg(F.count(F.lit(1)), F.min("d"), F.max("d")).collect():
         rings[c], sizes[c, 0] = (lo, hi), count
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
                 each = guests(d, d.argmin(1), pivots, rings, r).sum(0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(each)), pa.array(each[each > 0])], ["cell", "n"])
 
-    for c, count in nodes.select("vec").mapInArrow(visits, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+    for c, count in nodes.select("vec").mapInArrow(tidied(visits), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         sizes[c, 1] = count
     tiles = np.maximum(-(-sizes // TILE), [1, 0])
 
@@ -164,7 +164,7 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.slice(lo, 20_000) for x in cols] + [batch.column(x).take(take) for x in range(3)], ["unit", "side", "node", "m", "vec"])
 
     kind = dict(nodes.dtypes)["vec"]
-    dealt = nodes.select("node", "m", "vec").mapInArrow(deal, f"unit long, side long, node long, m long, vec {kind}").repartition("unit").sortWithinPartitions("unit", "side")
+    dealt = nodes.select("node", "m", "vec").mapInArrow(tidied(deal), f"unit long, side long, node long, m long, vec {kind}").repartition("unit").sortWithinPartitions("unit", "side")
 
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
@@ -199,7 +199,7 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
             if last and held:
                 yield solve(held)
 
-    return dealt.mapInArrow(join, "kind long, a long, b long")
+    return dealt.mapInArrow(tidied(join), "kind long, a long, b long")
 
 
 def vector_components(rows: DataFrame, *, least: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
