@@ -98,6 +98,8 @@ def main(argv: list[str] | None = None) -> int:
     out_dialect = a.dialect or (catalog.dialect_of(a.connection) if a.connection and not a.schema_file else "postgres")
     out_dialect = "postgres" if out_dialect == "parquet" else out_dialect
     mode = "subset" if roots else "append" if a.append else "generate"
+    # rows for a folder of Parquet are written there as they are made
+    published = sinks.Parquet(a.connection.removeprefix("parquet:")) if mode == "generate" and not (a.show or a.out or a.dry_run) and catalog.dialect_of(a.connection) == "parquet" else None
     try:
         if mode == "subset":
             for warning in plan(schema, config)[1]:
@@ -112,7 +114,7 @@ def main(argv: list[str] | None = None) -> int:
             print(preview.report(entries, mode))
             return 0
         else:
-            made = append(spark, schema, frames, config) if a.append else generate(spark, schema, config)
+            made = append(spark, schema, frames, config) if a.append else generate(spark, schema, config, store=published.keep if published else None)
     except (ValueError, KeyError) as x:
         print(f"error: {x}", file=sys.stderr)
         return 1
@@ -121,6 +123,8 @@ def main(argv: list[str] | None = None) -> int:
             print(line)
     elif a.out:
         sinks.save_script(sinks.script(schema, made, out_dialect), a.out)
+    elif published is not None:
+        published.publish()
     else:
         sink = open_sink(a.to if roots else a.connection, a.truncate)
         try:

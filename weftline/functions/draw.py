@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ONE = float(1 << 52)
+#: Parts texts that are handed over as one.
+MARK = "\x1f"
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ class Draw:
         return F.lit(lo).cast("long") + self.below(hi - lo + 1, slot)
 
     def pick(self, values: list, slot: int = 0) -> Column:
-        return F.element_at(F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values)), (self.below(len(values), slot) + 1).cast("int"))
+        return F.element_at(listed(values), (self.below(len(values), slot) + 1).cast("int"))
 
     def weighted(self, values: list, weights: list[int], slot: int = 0) -> Column:
         """By whole-number weights: a chain of comparisons with running totals."""
@@ -66,6 +68,13 @@ class Draw:
         return replace(self, name=name, base=0)
 
 
+def listed(values: list) -> Column:
+    """An array of constants. Texts are one constant that is split when the plan is optimized: one call, not one a text."""
+    if values and all(isinstance(v, str) and MARK not in v for v in values):
+        return F.split(F.lit(MARK.join(values)), MARK)
+    return F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values))
+
+
 def sql_bits(seed: int, name: str, row: str, attempt: str = "0", slot: int = 0) -> str:
     """bits() as DuckDB SQL."""
     return f"('0x' || substr(md5('{seed}|{name}|' || ({row}) || '|' || ({attempt}) || '|{slot}'), 1, 13))::BIGINT"

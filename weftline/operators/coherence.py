@@ -65,7 +65,7 @@ def coherent(rows: DataFrame, table: Table, draw: Draw, frozen: set[str]) -> Dat
         if name and name not in frozen:
             limit = table.column(name).length
             made = F.substring(made, 1, limit) if limit else made
-            new[name] = F.when(F.col(name).isNotNull(), made)
+            new[name] = F.when(F.col(name).isNotNull(), made) if table.column(name).nullable else made
 
     for k, g in enumerate(groups(table)):
         d = draw.of(f"{draw.name}.group{k}")

@@ -6,6 +6,8 @@ coherence, uniqueness. Every draw depends on (seed, table, column, row, attempt)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -252,28 +254,35 @@ def linked(maker: Maker, rows: DataFrame, fk: ForeignKey, k: int) -> DataFrame:
     return joined.withColumns({c: F.col(f"p{j}_") for j, c in enumerate(fk.columns)}).drop("up_", "at_", *(f"p{j}_" for j in range(len(fk.columns))))
 
 
-def generate(spark: SparkSession, schema: Schema, config: Config, *, only: dict[str, int] | None = None, pools: dict[str, Pool] | None = None, starts: dict[str, int] | None = None, taken: dict[str, DataFrame] | None = None, keep: bool = True) -> dict[str, DataFrame]:
+def generate(spark: SparkSession, schema: Schema, config: Config, *, only: dict[str, int] | None = None, pools: dict[str, Pool] | None = None, starts: dict[str, int] | None = None, taken: dict[str, DataFrame] | None = None, store: Callable[[Table, DataFrame], DataFrame] | None = None, lazy: bool = False) -> dict[str, DataFrame]:
     """A frame for each table, by key, parents first.
 
     Tables that are skipped have none. Columns that can't be made are an error before
-    anything is drawn. Tables that others refer to are written to the shared folder
-    (keep: all are), so that no row is drawn twice. only, pools, starts, taken: for
-    appending, see operators.append.
+    anything is drawn. Tables are written by ``store``, which gives back what to read (the
+    shared folder if there is none), so that no row is drawn twice; lazy: only those that
+    others refer to. Tables of one wave of the order don't depend on each other and run
+    side by side. only, pools, starts, taken: for appending, see operators.append.
     """
     if bad := refused(schema, config):
         raise ValueError("no values can be made for " + ", ".join(bad))
     pools, out = dict(pools or {}), {}
     referred = {f.parent for t in schema.tables.values() for f in t.foreign if f.parent != t.key}
-    for key in order(schema)[0]:
+
+    def made(key: str) -> tuple[DataFrame, Pool | None]:
         t = schema.tables[key]
-        if config.skips(t) or only is not None and key not in only:
-            continue
         n = only[key] if only is not None else config.count(t)
         start = (starts or {}).get(key, 1)
         rows = table_rows(Maker(spark, t, config, pools, start), n, (taken or {}).get(key))
-        if keep or key in referred:
-            rows = written(rows)
-        out[key] = rows
-        if key in referred:
-            pools[key] = pool_of(rows, t, rows.count(), start)
-    return out
+        if not lazy or key in referred:
+            rows = store(t, rows) if store else written(rows)
+        return rows, pool_of(rows, t, rows.count(), start) if key in referred else None
+
+    done, waves = order(schema)
+    for wave in waves:
+        todo = [k for k in wave if not config.skips(schema.tables[k]) and (only is None or k in only)]
+        with ThreadPoolExecutor(max(1, min(4, len(todo)))) as pool:
+            for key, (rows, lent) in zip(todo, pool.map(made, todo), strict=True):
+                out[key] = rows
+                if lent is not None:
+                    pools[key] = lent
+    return {k: out[k] for k in done if k in out}

@@ -86,5 +86,5 @@ def coherent(rows: DataFrame, table: Table, draw: Draw, w: Window, floor: Column
             made = between(F.col(first), until, c.name) if floor is None else between(F.col(first), F.greatest(until, F.col(first)), c.name)
         else:
             made = between(F.col(first), until if r == "activity" else F.lit(w.future).cast("long"), c.name)
-        moved[c.name] = F.when(F.col(c.name).isNotNull(), made)
+        moved[c.name] = F.when(F.col(c.name).isNotNull(), made) if c.nullable else made
     return rows.withColumns(moved) if moved else rows

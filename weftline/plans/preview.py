@@ -38,7 +38,7 @@ def capped(config: Config) -> Config:
 def of_generate(spark: SparkSession, schema: Schema, config: Config, samples: bool = True) -> list[Entry]:
     """Planned counts; samples come from a run of SAMPLE rows a table."""
     loops = cyclic_tables(schema)
-    made = generate(spark, schema, capped(config), keep=False) if samples else {}
+    made = generate(spark, schema, capped(config), lazy=True) if samples else {}
     return [Entry(k, 0 if config.skips(schema.tables[k]) else config.count(schema.tables[k]), k in loops, config.skips(schema.tables[k]), sampled(made.get(k))) for k in order(schema)[0]]
 
 

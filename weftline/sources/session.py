@@ -14,7 +14,7 @@ _shipped: set[str] = set()
 
 def session(cores: int | str = 8, **conf: str) -> SparkSession:
     """A local session in UTC; for tests, benches and the command line."""
-    base = {"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
+    base = {"spark.sql.shuffle.partitions": "8", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.python.sql.dataFrameDebugging.enabled": "false"}
     spark = SparkSession.builder.master(f"local[{cores}]").config(map=base | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

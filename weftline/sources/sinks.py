@@ -12,7 +12,7 @@ from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.functions.literals import copy_line, row
@@ -25,7 +25,8 @@ BINDS = 900
 
 
 class Sink(Protocol):
-    def write(self, table: Table, rows: DataFrame) -> None: ...
+    def write(self, table: Table, rows: DataFrame) -> int:
+        """Write the rows, and give back how many there were."""
 
 
 def quoted(name: str, dialect: str) -> str:
@@ -123,10 +124,16 @@ class Parquet:
         self.folder, self.stage, self.names = folder.rstrip("/"), f"{folder.rstrip('/')}/_stage-{uuid.uuid4().hex}", []
         self.spark = None
 
-    def write(self, table: Table, rows: DataFrame) -> None:
+    def write(self, table: Table, rows: DataFrame) -> int:
+        return self.keep(table, rows).count()
+
+    def keep(self, table: Table, rows: DataFrame) -> DataFrame:
+        """Write the table, and give back what was written; for generate(store=...)."""
         self.spark = rows.sparkSession
-        rows.write.parquet(f"{self.stage}/{table.name}.parquet")
+        path = f"{self.stage}/{table.name}.parquet"
+        rows.write.parquet(path)
         self.names.append(table.name)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def publish(self) -> None:
         """Renames within one file system; a table that is there already is replaced."""
@@ -147,11 +154,13 @@ class Jdbc:
     def __init__(self, url: str, dialect: str = "postgres", truncate: bool = False, **properties: str) -> None:
         self.url, self.dialect, self.truncate, self.properties = url, dialect, truncate, properties
 
-    def write(self, table: Table, rows: DataFrame) -> None:
-        flat = rows.select(*(F.to_json(c.name).alias(c.name) if c.kind in ("array", "composite", "range") else F.col(c.name) for c in present(table, rows)))
+    def write(self, table: Table, rows: DataFrame) -> int:
+        seen = Observation()
+        flat = rows.observe(seen, F.count(F.lit(1)).alias("n")).select(*(F.to_json(c.name).alias(c.name) if c.kind in ("array", "composite", "range") else F.col(c.name) for c in present(table, rows)))
         name = f"{table.schema}.{table.name}" if self.dialect == "postgres" else table.name
         writer = flat.write.format("jdbc").option("url", self.url).option("dbtable", name).option("batchsize", 10_000).options(**self.properties)
         writer.option("truncate", "true").mode("overwrite" if self.truncate else "append").save()
+        return seen.get["n"]
 
 
 class Sqlite:
@@ -165,8 +174,8 @@ class Sqlite:
         self.connection.execute("PRAGMA foreign_keys=OFF")
         self.connection.execute("BEGIN")
 
-    def write(self, table: Table, rows: DataFrame) -> None:
-        columns = present(table, rows)
+    def write(self, table: Table, rows: DataFrame) -> int:
+        columns, n = present(table, rows), 0
         name = quoted(table.name, "sqlite")
         if self.truncate:
             self.connection.execute(f"DELETE FROM {name}")
@@ -177,11 +186,13 @@ class Sqlite:
         held: list[tuple] = []
         for r in flat.toLocalIterator():
             held.append(tuple(r))
+            n += 1
             if len(held) == per:
                 self.connection.execute(top + ", ".join([one] * per), [v for x in held for v in x])
                 held = []
         if held:
             self.connection.execute(top + ", ".join([one] * len(held)), [v for x in held for v in x])
+        return n
 
     def close(self, failed: bool = False) -> None:
         self.connection.execute("ROLLBACK" if failed else "COMMIT")
@@ -207,12 +218,8 @@ def bound(c: Column):
 
 
 def into(schema: Schema, frames: dict[str, DataFrame], sink: Sink) -> dict[str, int]:
-    """Write every table, parents first as they come, and count the rows."""
-    counts = {}
-    for key, rows in frames.items():
-        sink.write(schema.tables[key], rows)
-        counts[key] = rows.count()
-    return counts
+    """Write every table, parents first as they come, and count the rows as they pass."""
+    return {key: sink.write(schema.tables[key], rows) for key, rows in frames.items()}
 
 
 def save_script(lines: Iterator[str], file: str) -> None:
