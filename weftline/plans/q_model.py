@@ -258,20 +258,20 @@ def _ddl_sql() -> str:
 
 ORACLES = {
     "gen_shop_graph": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {n}::BIGINT, 0::BIGINT, 0::BIGINT)" for k, n in SHOP_ROWS.items()) + ") t(table_name, n_rows, orphans, clashes)",
-    "gen_unique_rounds": "SELECT 500 AS n_rows, 500 AS n_codes, 1 AS first_id, 500 AS last_id",
+    "gen_unique_rounds": "SELECT 500::BIGINT AS n_rows, 500::BIGINT AS n_codes, 1::BIGINT AS first_id, 500::BIGINT AS last_id",
     "gen_unique_exhausted": "SELECT * FROM (VALUES ('a'), ('b'), ('c')) t(code)",
-    "gen_temporal": "SELECT 500 AS n_orders, 0 AS before_parent, 50 AS n_users, 0 AS updated_early, 0 AS expired_early",
-    "gen_coherent_names": "SELECT 200 AS n_rows, 0 AS full_wrong, 0 AS email_wrong, 0 AS username_wrong",
-    "gen_coherent_places": "SELECT 200 AS n_rows, 0 AS city_wrong, 0 AS zip_wrong",
+    "gen_temporal": "SELECT 500::BIGINT AS n_orders, 0::BIGINT AS before_parent, 50::BIGINT AS n_users, 0::BIGINT AS updated_early, 0::BIGINT AS expired_early",
+    "gen_coherent_names": "SELECT 200::BIGINT AS n_rows, 0::BIGINT AS full_wrong, 0::BIGINT AS email_wrong, 0::BIGINT AS username_wrong",
+    "gen_coherent_places": "SELECT 200::BIGINT AS n_rows, 0::BIGINT AS city_wrong, 0::BIGINT AS zip_wrong",
     "anon_local": f"SELECT c_custkey, c_name, {_pick('c_mktsegment', 'customer.c_mktsegment')} AS c_mktsegment FROM customer",
     "anon_group": """WITH o AS (SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL),
 m AS (SELECT k, (SELECT max(k) FROM o) + row_number() OVER (ORDER BY md5(k::VARCHAR), k) AS f FROM o)
 SELECT o_orderkey, f AS o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN m ON k = o_custkey""",
-    "anon_unique": "SELECT count(*) AS n_rows, count(*) AS n_names, 0 AS leaked FROM customer",
+    "anon_unique": "SELECT count(*) AS n_rows, count(*) AS n_names, 0::BIGINT AS leaked FROM customer",
     "anon_preserve": "SELECT * FROM nation",
-    "anon_null": "SELECT count(*) FILTER (WHERE c_custkey % 5 = 0) AS n_null, 0 AS changed FROM customer",
+    "anon_null": "SELECT count(*) FILTER (WHERE c_custkey % 5 = 0) AS n_null, 0::BIGINT AS changed FROM customer",
     "anon_leak_audit": "SELECT * FROM (VALUES ('c_name', 0::BIGINT), ('c_mktsegment', 0)) t(subject, violations)",
-    "anon_consistency": "SELECT o_orderpriority AS original, 1 AS n_fakes, count(*) AS n_rows FROM orders GROUP BY 1",
+    "anon_consistency": "SELECT o_orderpriority AS original, 1::BIGINT AS n_fakes, count(*) AS n_rows FROM orders GROUP BY 1",
     "emit_copy_lines": r"SELECT doc_id, concat_ws(chr(9), doc_id, " + ", ".join(f"coalesce(replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't'), chr(92) || 'N')" for c in ("text", "lang", "source")) + ", coalesce(n_chars::VARCHAR, chr(92) || 'N')) AS line FROM documents",
     "emit_insert_heads": """SELECT * FROM (VALUES
 ('postgres', 'order_items', 'INSERT INTO "main"."order_items" ("id", "order_id", "product_id", "quantity") OVERRIDING SYSTEM VALUE VALUES', 'TRUNCATE "main"."order_items" RESTART IDENTITY CASCADE;'),

@@ -261,6 +261,6 @@ ORACLES = {
     "self_fk_tree": f"SELECT i + 1 AS id, CASE WHEN i = 0 OR {sql_bits(7, 'tree', 'i')} / 4503599627370496.0::DOUBLE < 0.6::DOUBLE THEN NULL ELSE 1 + {sql_below(7, 'tree', 'i', 'i', 1)} END AS up, CASE WHEN i = 0 THEN 1 ELSE 1 + {sql_below(7, 'tree', 'i', 'i', 1)} END AS up_required FROM {_rows(CHILDREN)}",
     "value_weighted": _label_sql("status", [v for v, _ in STATUSES], _W3),
     "value_zipf_labels": _label_sql("city", CITIES, _ZIPF5),
-    "append_ids": "SELECT 500 AS n_new, max(o_orderkey) + 1 AS first_id, max(o_orderkey) + 500 AS last_id, 0 AS collisions FROM orders",
+    "append_ids": "SELECT 500::BIGINT AS n_new, max(o_orderkey) + 1::BIGINT AS first_id, max(o_orderkey) + 500::BIGINT AS last_id, 0::BIGINT AS collisions FROM orders",
     "append_children": f"WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 100000)), c AS (SELECT i, 1 + {sql_below(7, 'append', 'i', '(SELECT count(*) FROM p)')} AS rank FROM {_rows(500)}) SELECT (SELECT max(o_orderkey) + 1 FROM orders) + i AS o_orderkey, c_custkey AS o_custkey FROM c JOIN p USING (rank)",
 }
