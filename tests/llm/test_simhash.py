@@ -143,3 +143,36 @@ def test_components(spark, seed):
             root[y] = x
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_distinct_documents_by_similarity(spark, monkeypatch):
+    import weftline.llm.simhash as s
+
+    monkeypatch.setattr(s, "WIDE_TILE", 4)
+    rng = random.Random(11)
+    given = ["a b c d e f g h", "a b c d e f g h i", "q r s t u v w", "q r s t u v w x"]  # 4 of 5 shingles, 3 of 4
+    for k in range(40):
+        words = [f"u{rng.randrange(9000)}" for _ in range(rng.choice([12, 60, 250]))] + (["a", "common", "line", "of", "six", "words"] if k % 2 else [])
+        for _ in range(rng.choice([1, 2, 5])):
+            w = list(words)
+            for _ in range(rng.randrange(1 + len(w) // 25)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(9000)}"
+            given.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in given)]
+    root = list(range(len(given)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    shares = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shares.append(len(a & sets[j]) / len(a | sets[j]))
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    assert sum(0.7 < x < 0.8 for x in shares) > 5 and sum(0.8 <= x < 0.9 for x in shares) > 5
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(given)], SCHEMA).repartition(3)
+    assert sorted(r.doc_id for r in distinct_documents(df).collect()) == sorted({find(i) for i in range(len(given))})

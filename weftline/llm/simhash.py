@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components, forest
-from weftline.llm.shared import cut, mix, runs, slices, tidied
+from weftline.llm.shared import cut, mix, runs, sample_rows, slices, tidied, written
 
 #: Fingerprints in a tile, and in the piece of a tile that is compared at once.
 TILE, PIECE = 2048, 256
@@ -167,30 +167,33 @@ def compared(dealt: DataFrame, n: int, radius: int) -> DataFrame:
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 4 if n == 1 else 4 + n), np.int64)
-        for block, last in with_last(batches):
-            rows = np.stack([c.to_numpy() for c in block.columns], 1) if block is not None else rest
-            rows = np.concatenate([rest, rows]) if block is not None and len(rest) else rows
-            edge = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1
-            bounds = np.concatenate(([0], edge, [len(rows)]))
-            whole = bounds if last else bounds[:-1]  # the last group may go on in the next batch
+        for groups in grouped(batches, 4 if n == 1 else 4 + n):
             out = [np.zeros((0, 2), np.int64)]
-            for lo, hi in zip(whole[:-1].tolist(), whole[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                g = rows[lo:hi]
+            for g in groups:
                 one = g[:, 2] == 0
                 a, b = g[one], g[~one]
                 if len(a):
                     fp = [np.ascontiguousarray(x[:, -n:]).view(np.uint64) if len(x) else None for x in (a, b)]
                     out.append(np.concatenate([a[:, 3], b[:, 3]])[near(fp[0], fp[1], radius)])
-            rest = rows[whole[-1] :]
             found = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return dealt.mapInArrow(tidied(compare), "a long, b long")
 
 
+def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """For each batch the groups that end in it: rows of ``width`` longs, two at least, alike in the first two."""
+    rest = np.zeros((0, width), np.int64)
+    for block, last in with_last(batches):
+        rows = np.stack([c.to_numpy() for c in block.columns], 1) if block is not None else rest
+        rows = np.concatenate([rest, rows]) if block is not None and len(rest) else rows
+        edge = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1
+        bounds = np.concatenate(([0], edge, [len(rows)]))
+        whole = bounds if last else bounds[:-1]  # the last group may go on in the next batch
+        yield [rows[lo:hi] for lo, hi in zip(whole[:-1].tolist(), whole[1:].tolist(), strict=True) if hi - lo > 1]
+        rest = rows[whole[-1] :]
+
+
 def with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, bool]]:
     """Each batch, and whether it is the last; (None, True) at the end if there are none."""
     held = None
@@ -222,25 +225,37 @@ def simhash_components(docs: DataFrame, *, width: int = 5, radius: int = 4, text
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# The rest is for texts that share most of their shingles but not nearly all, whose
-# fingerprints of 64 bits differ in too many to tell them from strangers.
+# The rest is for texts that share most of their shingles but not nearly all. Fingerprints
+# can't tell a similarity of 0.8 from one of 0.7, so the shingles themselves decide.
 
-#: Words of a wide fingerprint, and the radius that stands for a Jaccard similarity of 0.8
-#: (of pairs that share 0.8 of their distinct five-word shingles it finds 14 of 15, of those
-#: that share more nearly all, of those that share 0.7 a sixth, and none of strangers).
-WIDE, WIDE_RADIUS = 8, 90
-#: Wide fingerprints in a tile.
-WIDE_TILE = 4096
-#: Bands, and least shingle hashes in one. Of pairs at a similarity of 0.8 all but 0.4 % share a band.
+#: Least similarity of near-duplicates, as a fraction: shingles in both by shingles in either.
+SHARE = 4, 5
+#: Words of a text's parity: bit k is set if an odd number of its shingle hashes is k mod 64 * WIDE.
+WIDE = 8
+#: Shingle sets in a tile, and in the piece of a tile that is compared at once.
+WIDE_TILE, WIDE_PIECE = 4096, 512
+#: Bands, and least shingle hashes in one. They only bring most links early; none is lost without them.
 BANDS, LEAST = 14, 5
 #: Odd multipliers, one for each order in which shingle hashes are least.
 ORDERS = mix(np.arange(1, BANDS * LEAST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Texts in which shingles are counted, and shingles told from rare ones, at most.
+COUNTED, COMMON = 10_000, 100_000
+
+
+def prefix_size(n: int) -> int:
+    """Of two sets that share SHARE, the first so many of each, in any one order, have one in common."""
+    p, q = SHARE
+    return n - -(-p * n // q) + 1 if n else 0
 
 
-def wide_fingerprint(text: bytes, width: int) -> tuple[list[int], list[int]]:
-    """WIDE words from the distinct shingles, and BANDS hashes (signed) of their least ones."""
-    h = np.unique(shingle_hashes(text, width))
-    salts = [np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(WIDE)]
+def parity(h: np.ndarray) -> np.ndarray:
+    """WIDE words. Those of two sets differ in no more bits than the sets do in members."""
+    odd = np.bincount((h % np.uint64(64 * WIDE)).astype(np.int64), minlength=64 * WIDE) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """BANDS hashes of the least shingle hashes."""
     least = np.full(len(ORDERS), 2**64 - 1, np.uint64)
     for lo in range(0, len(h), 4096):
         least = np.minimum(least, (h[None, lo : lo + 4096] * ORDERS[:, None]).min(1))
@@ -248,55 +263,169 @@ def wide_fingerprint(text: bytes, width: int) -> tuple[list[int], list[int]]:
     key = np.zeros(BANDS, np.uint64)
     for k in range(LEAST):
         key = mix(key + band[:, k])
-    return [majority(mix(h + salt) if k else h) for k, salt in enumerate(salts)], key.view(np.int64).tolist()
+    return key.view(np.int64)
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) from (node, text): the distinct shingle hashes of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, at in slices(batch.column(1)):
+                sets = [np.unique(shingle_hashes(data[at[i] : at[i + 1]].tobytes(), width)).view(np.int64) for i in range(hi - lo)]
+                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(tidied(run), "node long, shingles array<long>")
 
 
-def wide_components(docs: DataFrame, *, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes that a sample of texts (t1, text) has thrice or more, sorted, and in how many texts.
+
+    They put common shingles last, so that few texts meet by them. Which they are changes the work, not the links.
+    """
+    sample = sample_rows(texts, COUNTED, "t1").dropDuplicates(["t1"]).select(F.col("t1").alias("node"), "text")
+    found = shingle_sets(sample, width).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of distinct shingles share SHARE.
+
+    nodes: (node, t1, t2), a text of each; texts: (t1, t2, text).
+    """
+    p, q = SHARE
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.select("node", "t1", "t2").join(ends, "node")
+    sets = cut(shingle_sets(texts.join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text")), width))
+    of = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b")]
+    both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
+    return pairs.join(of[1], "b").join(of[0], "a").where(both * (p + q) >= total * p).select("a", "b")
+
+
+def candidates(dealt: DataFrame) -> DataFrame:
+    """(a, b) from units (g, g2, side, node, part, n, WIDE words of parity), each unit's rows together and in order.
+
+    Pairs of two parts that neither their sizes nor their parities show to be too
+    different: sets that share SHARE differ in (n_a + n_b) * (1 - share) / (1 + share) members
+    at most. Rows of side 1, if there are any, are paired with those of side 0, or else
+    these with each other.
+    """
+    p, q = SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in grouped(batches, 6 + WIDE):
+            out, size = [], 0
+            for g in groups:
+                one = g[:, 2] == 0
+                a, b = g[one], g[~one]
+                b, alone = (b, False) if len(b) else (a, True)
+                b = b[np.argsort(b[:, 5], kind="stable")]
+                a = b if alone else a[np.argsort(a[:, 5], kind="stable")]
+                for i in range(0, len(a), WIDE_PIECE):
+                    x = a[i : i + WIDE_PIECE]
+                    for j in range(i if alone else 0, len(b), WIDE_PIECE):
+                        y = b[j : j + WIDE_PIECE]
+                        if p * y[0, 5] > q * x[-1, 5]:
+                            break
+                        if q * y[-1, 5] < p * x[0, 5]:
+                            continue
+                        n, m = x[:, 5][:, None], y[:, 5][None, :]
+                        ok = (x[:, 4][:, None] != y[:, 4][None, :]) & (q * np.minimum(n, m) >= p * np.maximum(n, m))
+                        s, t = np.nonzero(ok)
+                        off = np.zeros(len(s), np.int64)
+                        for w in range(6, 6 + WIDE):
+                            off += np.bitwise_count((x[s, w] ^ y[t, w]).view(np.uint64))
+                        close = off * (p + q) <= (x[s, 5] + y[t, 5]) * (q - p)
+                        u, v = x[s[close], 3], y[t[close], 3]
+                        out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
+                        size += len(u)
+                        if size > 1 << 16:
+                            found = np.unique(np.concatenate(out), axis=0)
+                            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+                            out, size = [], 0
+            if size:
+                found = np.unique(np.concatenate(out), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return dealt.mapInArrow(tidied(run), "a long, b long")
+
+
+def wide_components(docs: DataFrame, *, width: int = 5) -> DataFrame:
     """The rows of docs without the text, with its hashes t1 and t2, and part: one number for each group of near-duplicates.
 
-    Fingerprints are compared where their texts share a band, that is LEAST least shingle
-    hashes in BANDS different orders, so the work grows with the rows and not with their
-    square. A band of more than WIDE_TILE different fingerprints is compared in tiles.
-    Equal fingerprints are one. Texts without a word are one group, as equal texts are.
+    Two texts are linked if their sets of distinct shingles share SHARE; equal sets are
+    one node, and texts without a word are one group. First each node is checked
+    against one other of each band it is in (LEAST least shingle hashes in an order of
+    their own), which finds most groups from few pairs. Then nodes of different groups
+    meet by prefixes: with all shingles in one order, rare ones first, two sets that share SHARE
+    have one in common among the first prefix_size() of each, so no pair is missed.
+    Of those that meet, sizes and parities leave out only what can't be similar, and the
+    shingles decide. Shingles and sets are told apart by hashes, of 64 and 128 bits. A shingle
+    that more than WIDE_TILE sets meet by is compared in tiles.
     """
     words = [f"f{k}" for k in range(WIDE)]
+    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
+    texts = keyed.select("t1", "t2", "text")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = common.value
         for batch in batches:
-            out, keys = np.zeros((batch.num_rows, WIDE), np.uint64), []
             for lo, hi, data, at in slices(batch.column(2)):
+                rows, firsts, keys = np.zeros((hi - lo, 3 + WIDE), np.int64), [], []
                 for i in range(hi - lo):
-                    out[lo + i], key = wide_fingerprint(data[at[i] : at[i + 1]].tobytes(), width)
-                    keys.append(key)
-            signed = out.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(WIDE)), pa.array(keys, pa.list_(pa.int64()))], ["t1", "t2", *words, "bands"])
-
-    keyed = docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
-    prints = cut(keyed.select("t1", "t2", F.col("text").cast("string")).mapInArrow(tidied(run), "t1 long, t2 long, " + ", ".join(f"{w} long" for w in words) + ", bands array<long>").dropDuplicates(["t1", "t2"]))
-    nodes = cut(prints.groupBy(*words).agg(F.min("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+                    h = np.unique(shingle_hashes(data[at[i] : at[i + 1]].tobytes(), width))
+                    raw = h.tobytes()
+                    rows[i] = [len(h), *np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)], np.uint64).view(np.int64), *parity(h)]
+                    often = np.zeros(len(h), np.int64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        hit = known[place] == h
+                        often[hit] = times[place[hit]]
+                    firsts.append(h[np.lexsort((mix(h), often))[: prefix_size(len(h))]].view(np.int64))
+                    keys.append(bands(h))
+                own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (keys, firsts)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3 + WIDE)), *lists], ["t1", "t2", "n", "s1", "s2", *words, "bands", "firsts"])
+
+    kinds = ", ".join(f"{w} long" for w in ("t1", "t2", "n", "s1", "s2", *words))
+    prints = cut(texts.select("t1", "t2", "text").mapInArrow(tidied(run), f"{kinds}, bands array<long>, firsts array<long>").dropDuplicates(["t1", "t2"]))
+    nodes = cut(prints.groupBy("s1", "s2", "n", *words).agg(F.min(F.struct("t1", "t2")).alias("of"), F.first("bands").alias("bands"), F.first("firsts").alias("firsts")).withColumn("node", F.monotonically_increasing_id()).select("node", "s1", "s2", "n", *words, "of.t1", "of.t2", "bands", "firsts"))
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("k"))
-    met = banded.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.expr(f"cast(ceil(n / {WIDE_TILE}) as int)").alias("cuts"))
+    centres = banded.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "node"), "node")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.col("c.node").alias("c"))
+    stars = cut(banded.join(centres, "k").where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
+    early = written(similar(stars, nodes, texts, width))
+    found = components(early).withColumnsRenamed({"id": "node", "component": "part"})
+    parts = cut(nodes.select("node", "n", *words).join(found, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    filed = nodes.select("node", F.explode("firsts").alias("k")).join(parts.select("node", "part"), "node")
+    met = filed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("k", F.expr(f"cast(ceil(m / {WIDE_TILE}) as int)").alias("cuts"))
     tile = F.expr("cast(pmod(xxhash64(node), cuts) as int)")
     units = F.expr("transform(sequence(0, cuts - 1), p -> named_struct('unit', concat_ws('.', least(p, tile), greatest(p, tile)), 'side', if(p < tile, 1L, 0L)))")
-    work = banded.join(met, "k").withColumn("tile", tile).select("k", "node", F.explode(units).alias("u"))
+    work = filed.select("k", "node").join(met, "k").withColumn("tile", tile).select("k", "node", F.explode(units).alias("u"))
     given = work.select(F.xxhash64("k", "u.unit").alias("g"), F.xxhash64(F.lit("unit"), "k", "u.unit").alias("g2"), F.col("u.side").alias("side"), "node")
-    dealt = given.join(nodes.select("node", *words), "node").select("g", "g2", "side", "node", *words).repartition("g").sortWithinPartitions("g", "g2")
-    found = components(compared(dealt, WIDE, radius)).withColumnsRenamed({"id": "node", "component": "part"})
-    parts = nodes.join(found, "node", "left").select(*words, F.coalesce("part", "node").alias("part"))
-    named = prints.join(parts, words).select("t1", "t2", "part")
-    return keyed.drop("text").join(named, ["t1", "t2"])
+    dealt = given.join(parts, "node").select("g", "g2", "side", "node", "part", "n", *words).repartition("g").sortWithinPartitions("g", "g2")
+    late = written(similar(cut(candidates(dealt).distinct()), nodes, texts, width))
+    found = components(early.union(late)).withColumnsRenamed({"id": "node", "component": "part"})
+    named = prints.select("t1", "t2", "s1", "s2", "n").join(nodes.select("node", "s1", "s2", "n").join(found, "node", "left").select("s1", "s2", "n", F.coalesce("part", "node").alias("part")), ["s1", "s2", "n"])
+    return keyed.drop("text").join(named.select("t1", "t2", "part"), ["t1", "t2"])
 
 
-def distinct_documents(docs: DataFrame, *, width: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def distinct_documents(docs: DataFrame, *, width: int = 5) -> DataFrame:
     """One row of docs, with its own columns, for each group of near-duplicate texts: that of the smallest id.
 
+    Near-duplicates share four fifths of their distinct shingles or more; groups are what such links connect.
+
     Ties of ids (repeated rows) go to the row that sorts first by its other columns'
     hash; a null id sorts last, a null text is the empty one.
     """
     hashable = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
     tie, text = F.xxhash64(F.lit("tie"), *hashable), F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(*(F.col(c).alias(f"c_{c}") for c in docs.columns), text.alias("text"), tie.alias("tie"))
-    slim = wide_components(own.select("c_doc_id", "tie", "text"), width=width, radius=radius)
+    slim = wide_components(own.select("c_doc_id", "tie", "text"), width=width)
     least = slim.groupBy("part").agg(F.min(F.struct(F.col("c_doc_id").isNull(), "c_doc_id", "tie", "t1", "t2")).alias("least")).select("least.tie", "least.t1", "least.t2")
     keyed = own.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
     kept = keyed.join(least, ["tie", "t1", "t2"], "left_semi")
