@@ -35,3 +35,14 @@ def test_empty_table(spark):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_tokens_carry_the_mixing_whatever_the_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    order = [r.doc_id for r in pipeline.mixing(spark, docs, SF).collect()]
+    docs.repartition(7).write.parquet(str(tmp_path / "mixed"))
+    got = pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mixed")), SF).collect()
+    got.sort(key=lambda r: r.mix_position)
+    assert [r.mix_position for r in got] == list(range(1, len(order) + 1))
+    assert [r.doc_id for r in got] == order
+    assert [r.mix_slot for r in got] == sorted(r.mix_slot for r in got)

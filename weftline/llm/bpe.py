@@ -260,17 +260,17 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(ranks, pattern)
 
 
-def bpe(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``ids`` the ids themselves.
+def bpe(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256, with ``ids`` the ids themselves, and the columns ``keep``.
 
     The vocabulary file must be readable at ``path`` on every executor. Null and
     empty texts have no tokens (the digests are those of no bytes). Rows are
     independent, so repeated ids and rows give as many rows; other columns of docs
     don't matter. No shuffle.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids + list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
@@ -281,7 +281,7 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: bo
                 rows = batch.slice(lo, max(1, int(np.searchsorted(np.cumsum(n), CHARS, "right"))))
                 lo += rows.num_rows
                 found = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(e.decode(p)).hexdigest(), *([np.frombuffer(p, "<u4").astype(np.int32)] * ids)) for p in e.packed(rows.column(1).to_pylist())]
-                out = [rows.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types[1:], strict=True))]
+                out = [rows.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types[1:], strict=True)), *rows.columns[2:]]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string")).mapInArrow(tidied(run), schema)
+    return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string"), *(docs[c] for c in keep)).mapInArrow(tidied(run), schema)
