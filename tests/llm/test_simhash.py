@@ -176,3 +176,11 @@ def test_distinct_documents_by_similarity(spark, monkeypatch):
     assert sum(0.7 < x < 0.8 for x in shares) > 5 and sum(0.8 <= x < 0.9 for x in shares) > 5
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(given)], SCHEMA).repartition(3)
     assert sorted(r.doc_id for r in distinct_documents(df).collect()) == sorted({find(i) for i in range(len(given))})
+
+
+def test_components_go_on_until_they_stand_still(spark, monkeypatch):
+    import weftline.llm.components as c
+
+    monkeypatch.setattr(c, "ROUNDS", 1, raising=False)
+    edges = [(k, k + 1) for k in range(40)]
+    assert {r.component for r in c.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import cut
 
-#: Star contraction needs O(log^2 n) rounds; this is far beyond what any input takes.
-ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
@@ -25,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u > v")
     now = cut(pairs.distinct())
     last = None
-    for _ in range(ROUNDS):
+    while True:  # star contraction stands still after O(log^2 n) rounds
         mark = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if mark == last or not mark[0]:
             break
