@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import language, quality, toxicity
 from weftline.llm.features import pair, words
@@ -98,3 +99,12 @@ def test_words_and_skip_grams():
     assert Counter(doc.tolist()) == {0: 3, 2: 2, 3: 1}
     assert h[2] == h[3] and len(set(h.tolist())) == 5
     assert pair(h[:1], h[1:2], 1) != pair(h[:1], h[1:2], 2)
+
+
+def test_language_whose_texts_were_all_set_aside(spark):
+    text = "zwölf boxkämpfer jagen viktor quer über den großen deich"
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("de").alias("lang"))
+    aside = F.pmod(F.xxhash64(F.lit("test"), "doc_id", "text"), F.lit(11)) == 0
+    one = docs.where(aside & (language.fold() != 2)).limit(1)
+    other = docs.where(~aside & (language.fold() != 2)).limit(1).select("doc_id", F.lit("the quick brown fox jumps over the lazy dog").alias("text"), F.lit("en").alias("lang"))
+    assert "de" in language.fit(one.union(other)).languages

@@ -197,13 +197,21 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> Models:
                     g, n = np.unique(grams(c, ORDER, np.flatnonzero(c)), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    found = sample.where("not test").select("text", "lang").mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names, gram, n = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    counts = {}
-    for name in languages:
-        own = names == name
-        sort = np.argsort(gram[own])
-        counts[name] = gram[own][sort], n[own][sort]
+    def counted(texts: DataFrame, among: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        found = texts.select("text", "lang").mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        names, gram, n = np.array(found.column("lang").to_pylist(), object), found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        out = {}
+        for name in among:
+            own = names == name
+            sort = np.argsort(gram[own])
+            out[name] = gram[own][sort], n[own][sort]
+        return out
+
+    counts = counted(sample.where("not test"), languages)
+    # where all texts of a language were set aside they are counted, and don't calibrate
+    bare = [name for name in languages if not len(counts[name][0])]
+    if bare:
+        counts |= counted(sample.where(F.col("test") & F.col("lang").isin(bare)), bare)
     languages = [name for name in languages if len(counts[name][0])]
     models = estimate(languages, {name: counts[name] for name in languages})
     held = docs.sparkSession.sparkContext.broadcast(models)
@@ -218,7 +226,7 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> Models:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["lang", "ce"])
 
-    tested = sample.where("test").select("text", "lang").mapInArrow(tidied(measure), "lang long, ce double").toArrow()
+    tested = sample.where(F.col("test") & ~F.col("lang").isin(bare)).select("text", "lang").mapInArrow(tidied(measure), "lang long, ce double").toArrow()
     own, ce = tested.column("lang").to_numpy(), tested.column("ce").to_numpy()
     for j in range(len(languages)):
         if (own == j).any():
