@@ -28,10 +28,12 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from spark.checkpoint.dir; one is set only where it is unset."""
+    """The folder all executors see, from spark.checkpoint.dir. One is set only where it is unset, and only on one machine."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="weftline-checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -44,15 +46,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As cut(), but as compressed Parquet; for large intermediate tables.
+class Scratch:
+    """Intermediate tables as compressed Parquet under the shared folder, ``weftline-*``."""
 
-    The files stay under the shared folder as ``weftline-*``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """As cut(), for large tables; the files stay until emptied()."""
+        self.paths.append(f"{shared_folder(self.spark).rstrip('/')}/weftline-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def emptied(self) -> None:
+        """Delete the files. Nothing that still has to be computed may need them."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self.paths = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Scratch.written() of a table that the result itself is read from, so that it stays."""
+    return Scratch(df.sparkSession).written(df)
 
 
 def sample_rows(df: DataFrame, most: int, key: str = "doc_id") -> DataFrame:

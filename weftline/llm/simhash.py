@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components, forest
-from weftline.llm.shared import cut, mix, runs, sample_rows, slices, tidied, written
+from weftline.llm.shared import Scratch, cut, mix, prefix_hash, runs, slices, span_hash, tidied
 
 #: Fingerprints in a tile, and in the piece of a tile that is compared at once.
 TILE, PIECE = 2048, 256
@@ -34,21 +34,28 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 
 
-def shingle_hashes(text: bytes, width: int) -> np.ndarray:
-    """XXH64 (seed 42) of each shingle of a text in order, repeats included."""
+def joined_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends): the words of a text in lower case (A to Z), joined by one blank each."""
     raw = LOWER[np.frombuffer(text, np.uint8)]
     start, end = runs(~BLANK[raw])
-    n = len(start)
-    if not n:
-        return np.zeros(0, np.uint64)
-    # words joined by one blank each: word k of n starts at its start less the blanks dropped before it
+    if not len(start):
+        return raw[:0], start, end
+    # word k of n starts at its start less the blanks dropped before it
     gap = np.maximum(start - np.concatenate(([start[0]], end[:-1])) - 1, 0)
     off = start[0] + np.cumsum(gap)
     keep = ~BLANK[raw]
     keep[end[:-1]] = True
     raw[end[:-1]] = 32
-    joined = raw[keep].tobytes()
-    start, end = (start - off).tolist(), (end - off).tolist()
+    return raw[keep], start - off, end - off
+
+
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of a text in order, repeats included."""
+    words, start, end = joined_words(text)
+    n, joined = len(start), words.tobytes()
+    if not n:
+        return np.zeros(0, np.uint64)
+    start, end = start.tolist(), end.tolist()
     digest = xxhash.xxh64_intdigest
     if n <= width:
         return np.array([digest(joined, 42)], np.uint64)
@@ -225,12 +232,14 @@ def simhash_components(docs: DataFrame, *, width: int = 5, radius: int = 4, text
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# The rest is for texts that share most of their shingles but not nearly all. Fingerprints
-# can't tell a similarity of 0.8 from one of 0.7, so the shingles themselves decide.
+# The rest is for texts that share most of their shingles but not nearly all. 64 bits can't
+# tell a similarity of 0.8 from one of 0.7, so their fingerprints are parities, as long as a
+# text needs: compared by exclusive-or and bit counts in the same tiles, they show at least how
+# far two sets differ, so they rule pairs out and the shingles themselves decide the rest.
 
 #: Least similarity of near-duplicates, as a fraction: shingles in both by shingles in either.
 SHARE = 4, 5
-#: Words of a text's parity: bit k is set if an odd number of its shingle hashes is k mod 64 * WIDE.
+#: 64-bit words of the shortest parity.
 WIDE = 8
 #: Shingle sets in a tile, and in the piece of a tile that is compared at once.
 WIDE_TILE, WIDE_PIECE = 4096, 512
@@ -238,8 +247,23 @@ WIDE_TILE, WIDE_PIECE = 4096, 512
 BANDS, LEAST = 14, 5
 #: Odd multipliers, one for each order in which shingle hashes are least.
 ORDERS = mix(np.arange(1, BANDS * LEAST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Texts in which shingles are counted, and shingles told from rare ones, at most.
-COUNTED, COMMON = 10_000, 100_000
+#: Shingles a task counts at once, the share of its texts that makes one common, and common ones that are broadcast at most.
+COUNTED, OFTEN, COMMON = 1 << 15, 1 / 1024, 1 << 17
+#: Rows of a side that is broadcast at most; a larger one is joined by a shuffle.
+SENT = 1 << 20
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text, ascending."""
+    joined, start, end = joined_words(text)
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.uint64)
+    if n <= width:
+        start, end = start[:1], end[-1:]
+    else:
+        start, end = start[: n - width + 1], end[width - 1 :]
+    return np.unique(span_hash(prefix_hash(joined), start, end))
 
 
 def prefix_size(n: int) -> int:
@@ -249,11 +273,24 @@ def prefix_size(n: int) -> int:
 
 
 def parity(h: np.ndarray) -> np.ndarray:
-    """WIDE words. Those of two sets differ in no more bits than the sets do in members."""
-    odd = np.bincount((h % np.uint64(64 * WIDE)).astype(np.int64), minlength=64 * WIDE) & 1
+    """Words of a set's parity: bit k is set if an odd number of its hashes is k mod the number of bits, at least two a hash.
+
+    Parities of two sets, of one length, differ in no more bits than the sets do in members.
+    """
+    bits = 64 * WIDE
+    while bits < 2 * len(h):
+        bits *= 2
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+def folded(words: np.ndarray, to: int) -> np.ndarray:
+    """A parity of ``to`` words from a longer one."""
+    while len(words) > to:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def bands(h: np.ndarray) -> np.ndarray:
     """BANDS hashes of the least shingle hashes."""
     least = np.full(len(ORDERS), 2**64 - 1, np.uint64)
@@ -266,50 +303,140 @@ def bands(h: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) from (node, text): the distinct shingle hashes of each."""
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common shingles, ascending, and about how many of all texts (column text) have each.
+
+    A task keeps its COUNTED commonest shingles, with all counts lowered by that of the
+    first to go (so a shingle in a share of over 1 / COUNTED of what was counted is
+    never lost), and gives those in OFTEN of its texts. They put common shingles
+    last, so that few texts meet by them. Which they are changes the work, not the links.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
-            for lo, hi, data, at in slices(batch.column(1)):
-                sets = [np.unique(shingle_hashes(data[at[i] : at[i + 1]].tobytes(), width)).view(np.int64) for i in range(hi - lo)]
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["node", "shingles"])
-
-    return texts.select("node", "text").mapInArrow(tidied(run), "node long, shingles array<long>")
+            for lo, hi, data, at in slices(batch.column(0)):
+                seen += hi - lo
+                new, n = np.unique(np.concatenate([shingle_set(data[at[i] : at[i + 1]].tobytes(), width) for i in range(hi - lo)]), return_counts=True)
+                keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                times = np.bincount(back, np.concatenate([times, n]), len(keys)).astype(np.int64)
+                if len(keys) > COUNTED:
+                    times = times - np.partition(times, len(times) - COUNTED - 1)[len(times) - COUNTED - 1]
+                    keys, times = keys[times > 0], times[times > 0]
+        some = times >= max(3, OFTEN * seen)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(times[some])], ["h", "n"])
+
+    found = texts.select("text").mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that a sample of texts (t1, text) has thrice or more, sorted, and in how many texts.
+def sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(t1, t2, n, s1, s2, parity, bands, firsts, often) of texts (t1, t2, text).
 
-    They put common shingles last, so that few texts meet by them. Which they are changes the work, not the links.
+    n, s1 and s2 are the size and the hash of the set of shingles; firsts its prefix, rare
+    shingles first, and often whether each is among the common ones.
     """
-    sample = sample_rows(texts, COUNTED, "t1").dropDuplicates(["t1"]).select(F.col("t1").alias("node"), "text")
-    found = shingle_sets(sample, width).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, times = common.value
+        for batch in batches:
+            for lo, hi, data, at in slices(batch.column(2)):
+                rows, words, keys, firsts, oft = np.zeros((hi - lo, 3), np.int64), [], [], [], []
+                for i in range(hi - lo):
+                    h = shingle_set(data[at[i] : at[i + 1]].tobytes(), width)
+                    raw = h.tobytes()
+                    rows[i] = [len(h), *np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)], np.uint64).view(np.int64)]
+                    often = np.zeros(len(h), np.int64)
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        hit = known[place] == h
+                        often[hit] = times[place[hit]]
+                    take = np.lexsort((mix(h), often))[: prefix_size(len(h))]
+                    firsts.append(h[take].view(np.int64))
+                    oft.append(often[take] > 0)
+                    words.append(parity(h))
+                    keys.append(bands(h))
+                own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (words, keys, firsts, oft)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3)), *lists], ["t1", "t2", "n", "s1", "s2", "parity", "bands", "firsts", "often"])
+
+    return texts.select("t1", "t2", "text").mapInArrow(tidied(run), "t1 long, t2 long, n long, s1 long, s2 long, parity array<long>, bands array<long>, firsts array<long>, often array<boolean>")
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has SENT rows at most; df must be cheap to count."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that neither sizes nor whole parities (nodes: node, n, parity) show to be too different."""
+    p, q = SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.stack([batch.column(k).to_numpy() for k in (2, 3)], 1)
+            yes = q * n.min(1) >= p * n.max(1)
+            for i in np.flatnonzero(yes).tolist():
+                x, y = (batch.column(k)[i].values.to_numpy() for k in (4, 5))
+                to = min(len(x), len(y))
+                off = int(np.bitwise_count((folded(x, to) ^ folded(y, to)).view(np.uint64)).sum())
+                yes[i] = off * (p + q) <= n[i].sum() * (q - p)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(yes)) for k in (0, 1)], ["a", "b"])
+
+    of = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"of_{x}")) for x in ("a", "b")]
+    return pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of distinct shingles share SHARE.
+    """The pairs (a, b) of nodes whose sets of distinct shingles share SHARE; pairs must be cheap to read again.
 
     nodes: (node, t1, t2), a text of each; texts: (t1, t2, text).
     """
     p, q = SHARE
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "t1", "t2").join(ends, "node")
-    sets = cut(shingle_sets(texts.join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text")), width))
-    of = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b")]
-    both, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    return pairs.join(of[1], "b").join(of[0], "a").where(both * (p + q) >= total * p).select("a", "b")
+    wanted = cut(nodes.select("node", "t1", "t2").join(ends, "node"))
+    held = texts.join(sized(wanted), ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    of = [held.select(F.col("node").alias(x), F.col("text").alias(f"of_{x}")) for x in ("a", "b")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yes, last = np.zeros(batch.num_rows, bool), (None, np.zeros(0, np.uint64))
+            for i, b in enumerate(batch.column(1).to_pylist()):
+                if last[0] != b:
+                    last = b, shingle_set(batch.column(3)[i].as_py().encode(), width)
+                x = shingle_set(batch.column(2)[i].as_py().encode(), width)
+                both = len(np.intersect1d(x, last[1], assume_unique=True))
+                yes[i] = both * (p + q) >= (len(x) + len(last[1])) * p
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(yes)) for k in (0, 1)], ["a", "b"])
+
+    return pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "of_a", "of_b").mapInArrow(tidied(run), "a long, b long")
+
+
+def met_again(rows: DataFrame) -> DataFrame:
+    """The rows (k, node) whose k more than one row has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waiting = None, np.zeros((0, 2), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                now = np.concatenate([waiting, np.stack([c.to_numpy() for c in batch.columns], 1)])
+                same = now[1:, 0] == now[:-1, 0]
+                keep = np.append(False, same) | np.append(same, False)
+                keep[0] |= now[0, 0] == last
+                # a last row that is alone so far waits for the next batch
+                waiting, last = (now[:0], now[-1, 0]) if keep[-1] else (now[-1:], None)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(now[keep, k])) for k in (0, 1)], ["k", "node"])
+
+    return rows.select("k", "node").repartition("k").sortWithinPartitions("k").mapInArrow(tidied(run), "k long, node long")
 
 
 def candidates(dealt: DataFrame) -> DataFrame:
     """(a, b) from units (g, g2, side, node, part, n, WIDE words of parity), each unit's rows together and in order.
 
-    Pairs of two parts that neither their sizes nor their parities show to be too
+    Pairs of two parts that neither their sizes nor their parities, folded to WIDE words, show to be too
     different: sets that share SHARE differ in (n_a + n_b) * (1 - share) / (1 + share) members
     at most. Rows of side 1, if there are any, are paired with those of side 0, or else
     these with each other.
@@ -355,63 +482,50 @@ def candidates(dealt: DataFrame) -> DataFrame:
 
 
 def wide_components(docs: DataFrame, *, width: int = 5) -> DataFrame:
-    """The rows of docs without the text, with its hashes t1 and t2, and part: one number for each group of near-duplicates.
-
-    Two texts are linked if their sets of distinct shingles share SHARE; equal sets are
-    one node, and texts without a word are one group. First each node is checked
-    against one other of each band it is in (LEAST least shingle hashes in an order of
-    their own), which finds most groups from few pairs. Then nodes of different groups
-    meet by prefixes: with all shingles in one order, rare ones first, two sets that share SHARE
-    have one in common among the first prefix_size() of each, so no pair is missed.
-    Of those that meet, sizes and parities leave out only what can't be similar, and the
-    shingles decide. Shingles and sets are told apart by hashes, of 64 and 128 bits. A shingle
-    that more than WIDE_TILE sets meet by is compared in tiles.
+    """(t1, t2, part) of the distinct texts of docs: part is one number for each group of near-duplicates.
+
+    t1 and t2 are xxhash64(text) and xxhash64('text', text). Two texts are linked if their
+    sets of distinct shingles share SHARE; equal sets are one node, and texts without a word
+    are one group. First each node is checked against one other of each band it is in
+    (LEAST least shingle hashes in an order of their own), which finds most groups from few
+    pairs. Then nodes of different groups meet by prefixes: with all shingles in one order,
+    rare ones first, two sets that share SHARE have one in common among the first
+    prefix_size() of each, so no pair is missed. Of those that meet, sizes and parities
+    leave out only what can't be similar, and the shingles decide. Shingles and sets are
+    told apart by hashes, of 64 and 128 bits. A shingle that more than WIDE_TILE sets meet
+    by is compared in tiles.
     """
     words = [f"f{k}" for k in range(WIDE)]
-    keyed = docs.withColumn("text", F.col("text").cast("string")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
-    texts = keyed.select("t1", "t2", "text")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = common.value
-        for batch in batches:
-            for lo, hi, data, at in slices(batch.column(2)):
-                rows, firsts, keys = np.zeros((hi - lo, 3 + WIDE), np.int64), [], []
-                for i in range(hi - lo):
-                    h = np.unique(shingle_hashes(data[at[i] : at[i + 1]].tobytes(), width))
-                    raw = h.tobytes()
-                    rows[i] = [len(h), *np.array([xxhash.xxh64_intdigest(raw, 1), xxhash.xxh64_intdigest(raw, 2)], np.uint64).view(np.int64), *parity(h)]
-                    often = np.zeros(len(h), np.int64)
-                    if len(known):
-                        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        hit = known[place] == h
-                        often[hit] = times[place[hit]]
-                    firsts.append(h[np.lexsort((mix(h), often))[: prefix_size(len(h))]].view(np.int64))
-                    keys.append(bands(h))
-                own = [batch.column(k).slice(lo, hi - lo) for k in (0, 1)]
-                lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x))) for x in (keys, firsts)]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(3 + WIDE)), *lists], ["t1", "t2", "n", "s1", "s2", *words, "bands", "firsts"])
-
-    kinds = ", ".join(f"{w} long" for w in ("t1", "t2", "n", "s1", "s2", *words))
-    prints = cut(texts.select("t1", "t2", "text").mapInArrow(tidied(run), f"{kinds}, bands array<long>, firsts array<long>").dropDuplicates(["t1", "t2"]))
-    nodes = cut(prints.groupBy("s1", "s2", "n", *words).agg(F.min(F.struct("t1", "t2")).alias("of"), F.first("bands").alias("bands"), F.first("firsts").alias("firsts")).withColumn("node", F.monotonically_increasing_id()).select("node", "s1", "s2", "n", *words, "of.t1", "of.t2", "bands", "firsts"))
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.written(sketches(texts, width).withColumn("row", F.monotonically_increasing_id()))
+    named = scratch.written(prints.groupBy("s1", "s2", "n").agg(F.min("row").alias("node")))
+    nodes = prints.join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
     banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("k"))
-    centres = banded.groupBy("k").agg(F.min(F.struct(F.xxhash64("k", "node"), "node")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.col("c.node").alias("c"))
+    # one order of nodes for all bands, so that a group has few centres
+    centres = banded.groupBy("k").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", F.col("c.node").alias("c"))
     stars = cut(banded.join(centres, "k").where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
-    early = written(similar(stars, nodes, texts, width))
+    early = scratch.written(similar(cut(possible(stars, nodes)), nodes, texts, width))
     found = components(early).withColumnsRenamed({"id": "node", "component": "part"})
-    parts = cut(nodes.select("node", "n", *words).join(found, "node", "left").withColumn("part", F.coalesce("part", "node")))
-    filed = nodes.select("node", F.explode("firsts").alias("k")).join(parts.select("node", "part"), "node")
-    met = filed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("k", F.expr(f"cast(ceil(m / {WIDE_TILE}) as int)").alias("cuts"))
+    narrow = F.expr(f"transform(sequence(0, {WIDE - 1}), w -> aggregate(sequence(w, size(parity) - 1, {WIDE}), 0L, (x, j) -> x ^ parity[j]))")
+    parts = cut(nodes.select("node", "n", narrow.alias("f")).join(found, "node", "left").select("node", "n", F.coalesce("part", "node").alias("part"), *(F.col("f")[k].alias(w) for k, w in enumerate(words))))
+    each = nodes.select("node", F.explode(F.arrays_zip("firsts", "often")).alias("x")).select(F.col("x.firsts").alias("k"), "node", F.col("x.often").alias("often"))
+    # common shingles are known to be met; the others, far more, are seen once mostly and go
+    filed = scratch.written(met_again(each.where("not often")).union(each.where("often").select("k", "node")))
+    rated = filed.join(parts.select("node", "part"), "node")
+    met = cut(rated.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("k", F.expr(f"cast(ceil(m / {WIDE_TILE}) as int)").alias("cuts")))
     tile = F.expr("cast(pmod(xxhash64(node), cuts) as int)")
     units = F.expr("transform(sequence(0, cuts - 1), p -> named_struct('unit', concat_ws('.', least(p, tile), greatest(p, tile)), 'side', if(p < tile, 1L, 0L)))")
-    work = filed.select("k", "node").join(met, "k").withColumn("tile", tile).select("k", "node", F.explode(units).alias("u"))
+    work = filed.join(met, "k").withColumn("tile", tile).select("k", "node", F.explode(units).alias("u"))
     given = work.select(F.xxhash64("k", "u.unit").alias("g"), F.xxhash64(F.lit("unit"), "k", "u.unit").alias("g2"), F.col("u.side").alias("side"), "node")
     dealt = given.join(parts, "node").select("g", "g2", "side", "node", "part", "n", *words).repartition("g").sortWithinPartitions("g", "g2")
-    late = written(similar(cut(candidates(dealt).distinct()), nodes, texts, width))
+    pairs = cut(candidates(dealt).distinct())
+    late = scratch.written(similar(cut(possible(pairs, nodes)), nodes, texts, width))
     found = components(early.union(late)).withColumnsRenamed({"id": "node", "component": "part"})
-    named = prints.select("t1", "t2", "s1", "s2", "n").join(nodes.select("node", "s1", "s2", "n").join(found, "node", "left").select("s1", "s2", "n", F.coalesce("part", "node").alias("part")), ["s1", "s2", "n"])
-    return keyed.drop("text").join(named.select("t1", "t2", "part"), ["t1", "t2"])
+    known = named.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("part", "node").alias("part"))
+    out = cut(prints.select("t1", "t2", "s1", "s2", "n").distinct().join(known, ["s1", "s2", "n"]).select("t1", "t2", "part"))
+    scratch.emptied()
+    return out
 
 
 def distinct_documents(docs: DataFrame, *, width: int = 5) -> DataFrame:
@@ -424,9 +538,8 @@ def distinct_documents(docs: DataFrame, *, width: int = 5) -> DataFrame:
     """
     hashable = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
     tie, text = F.xxhash64(F.lit("tie"), *hashable), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(*(F.col(c).alias(f"c_{c}") for c in docs.columns), text.alias("text"), tie.alias("tie"))
-    slim = wide_components(own.select("c_doc_id", "tie", "text"), width=width)
+    own = docs.select(*(F.col(c).alias(f"c_{c}") for c in docs.columns), text.alias("text"), tie.alias("tie")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
+    slim = own.select("c_doc_id", "tie", "t1", "t2").join(wide_components(own.select("text"), width=width), ["t1", "t2"])
     least = slim.groupBy("part").agg(F.min(F.struct(F.col("c_doc_id").isNull(), "c_doc_id", "tie", "t1", "t2")).alias("least")).select("least.tie", "least.t1", "least.t2")
-    keyed = own.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
-    kept = keyed.join(least, ["tie", "t1", "t2"], "left_semi")
+    kept = own.join(least, ["tie", "t1", "t2"], "left_semi")
     return kept.dropDuplicates(["tie", "t1", "t2"]).select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))
