@@ -239,8 +239,8 @@ def simhash_components(docs: DataFrame, *, width: int = 5, radius: int = 4, text
 
 #: Least similarity of near-duplicates, as a fraction: shingles in both by shingles in either.
 SHARE = 4, 5
-#: 64-bit words of the shortest parity.
-WIDE = 8
+#: 64-bit words of the shortest parity, and those looked at before pairs are left out.
+WIDE, STEP = 32, 8
 #: Shingle sets in a tile, and in the piece of a tile that is compared at once.
 WIDE_TILE, WIDE_PIECE = 4096, 512
 #: Bands, and least shingle hashes in one. They only bring most links early; none is lost without them.
@@ -464,10 +464,12 @@ def candidates(dealt: DataFrame) -> DataFrame:
                         ok = (x[:, 4][:, None] != y[:, 4][None, :]) & (q * np.minimum(n, m) >= p * np.maximum(n, m))
                         s, t = np.nonzero(ok)
                         off = np.zeros(len(s), np.int64)
-                        for w in range(6, 6 + WIDE):
-                            off += np.bitwise_count((x[s, w] ^ y[t, w]).view(np.uint64))
-                        close = off * (p + q) <= (x[s, 5] + y[t, 5]) * (q - p)
-                        u, v = x[s[close], 3], y[t[close], 3]
+                        for lo in range(6, 6 + WIDE, STEP):
+                            for w in range(lo, min(lo + STEP, 6 + WIDE)):
+                                off += np.bitwise_count((x[s, w] ^ y[t, w]).view(np.uint64))
+                            close = off * (p + q) <= (x[s, 5] + y[t, 5]) * (q - p)
+                            s, t, off = s[close], t[close], off[close]
+                        u, v = x[s, 3], y[t, 3]
                         out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
                         size += len(u)
                         if size > 1 << 16:
@@ -513,7 +515,10 @@ def wide_components(docs: DataFrame, *, width: int = 5) -> DataFrame:
     # common shingles are known to be met; the others, far more, are seen once mostly and go
     filed = scratch.written(met_again(each.where("not often")).union(each.where("often").select("k", "node")))
     rated = filed.join(parts.select("node", "part"), "node")
-    met = cut(rated.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("k", F.expr(f"cast(ceil(m / {WIDE_TILE}) as int)").alias("cuts")))
+    who = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"x{k}") for k in (1, 2)]
+    known = rated.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi"), *who).where("lo < hi")
+    # of the shingles of a passage, by which the same texts meet, one is enough
+    met = cut(known.groupBy("m", "x1", "x2").agg(F.min("k").alias("k")).select("k", F.expr(f"cast(ceil(m / {WIDE_TILE}) as int)").alias("cuts")))
     tile = F.expr("cast(pmod(xxhash64(node), cuts) as int)")
     units = F.expr("transform(sequence(0, cuts - 1), p -> named_struct('unit', concat_ws('.', least(p, tile), greatest(p, tile)), 'side', if(p < tile, 1L, 0L)))")
     work = filed.join(met, "k").withColumn("tile", tile).select("k", "node", F.explode(units).alias("u"))
@@ -522,8 +527,8 @@ def wide_components(docs: DataFrame, *, width: int = 5) -> DataFrame:
     pairs = cut(candidates(dealt).distinct())
     late = scratch.written(similar(cut(possible(pairs, nodes)), nodes, texts, width))
     found = components(early.union(late)).withColumnsRenamed({"id": "node", "component": "part"})
-    known = named.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("part", "node").alias("part"))
-    out = cut(prints.select("t1", "t2", "s1", "s2", "n").distinct().join(known, ["s1", "s2", "n"]).select("t1", "t2", "part"))
+    groups = named.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("part", "node").alias("part"))
+    out = cut(prints.select("t1", "t2", "s1", "s2", "n").distinct().join(groups, ["s1", "s2", "n"]).select("t1", "t2", "part"))
     scratch.emptied()
     return out
 
