@@ -136,7 +136,7 @@ MAKERS: dict[str, Callable[[Draw, Context], Col]] = {
 
 
 def bounded(d: Draw, b: Bounds, col: Column) -> Col:
-    """A number within the bounds: SPAN wide where one side is open."""
+    """A number within the bounds: SPAN wide where one side is open, but a decimal under an upper bound starts at zero, or the bound if that is less."""
     if col.kind == "integer":
         lo = None if b.low is None else math.floor(b.low) + 1 if b.low_open else math.ceil(b.low)
         hi = None if b.high is None else math.ceil(b.high) - 1 if b.high_open else math.floor(b.high)
@@ -146,7 +146,8 @@ def bounded(d: Draw, b: Bounds, col: Column) -> Col:
     one = 10**n
     lo = None if b.low is None else math.ceil(round(b.low * one, 6)) + int(b.low_open and round(b.low * one, 6) == math.ceil(round(b.low * one, 6)))
     hi = None if b.high is None else math.floor(round(b.high * one, 6)) - int(b.high_open and round(b.high * one, 6) == math.floor(round(b.high * one, 6)))
-    lo, hi = lo if lo is not None else hi - SPAN * one, hi if hi is not None else lo + SPAN * one
+    lo = lo if lo is not None else min(0, hi)
+    hi = hi if hi is not None else lo + SPAN * one
     return scaled(d.between(lo, max(lo, hi)), n)
 
 
@@ -181,7 +182,7 @@ def json_text(name: str, d: Draw) -> Col:
     m = lambda key, at: MAKERS[key](d.at(at), Context())
     few = lambda pool: F.slice(F.array(*(F.element_at(F.lit(pool), (F.pmod(d.below(len(pool), 8) + k, F.lit(len(pool))) + 1).cast("int")) for k in range(4))), F.lit(1), d.between(1, 4).cast("int"))
     shapes: dict[str, Callable[[], Col]] = {
-        "address": lambda: F.struct(m("location.street", 0).alias("street"), m("location.city", 10).alias("city"), m("location.zipCode", 20).alias("zip"), m("location.country", 30).alias("country")),
+        "address": lambda: F.struct(m("location.street", 0).alias("street"), m("location.city", 10).alias("city"), m("location.state", 15).alias("state"), m("location.zipCode", 20).alias("zip"), m("location.country", 30).alias("country")),
         "point": lambda: F.struct(scaled(d.below(1_800_001) - 900_000, 4).alias("lat"), scaled(d.below(3_600_001, 1) - 1_800_000, 4).alias("lng")),
         "tags": lambda: F.slice(F.array(*(d.pick(V.WORDS, k + 1) for k in range(4))), F.lit(1), d.between(1, 4).cast("int")),
         "permissions": lambda: few(V.PERMISSIONS),

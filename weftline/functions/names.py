@@ -31,80 +31,80 @@ class Rule:
         return any(p in whole for p in self.parts) or whole in self.exact or not set(self.words).isdisjoint(tokens(name))
 
 
-def _rule(maker: str, parts: str = "", words: str = "", exact: str = "") -> Rule:
+def rule(maker: str, parts: str = "", words: str = "", exact: str = "") -> Rule:
     return Rule(maker, *(tuple(x.split()) for x in (parts, words, exact)))
 
 
 # Which names mean what. The first match wins.
 TEXT_RULES = (
-    _rule("internet.email", "email"),
-    _rule("internet.username", "", "username login handle"),
-    _rule("internet.password", "password passwd pwd"),
-    _rule("person.firstName", "firstname givenname"),
-    _rule("person.lastName", "lastname surname familyname"),
-    _rule("person.middleName", "middlename"),
-    _rule("person.fullName", "fullname displayname"),
-    _rule("person.fullName", "contactname", "", "name"),
-    _rule("company.name", "company organization organisation employer"),
-    _rule("person.jobTitle", "jobtitle occupation", "position role"),
-    _rule("phone.number", "phone mobile", "cell fax"),
-    _rule("image.url", "avatar profilepic thumbnail", "photo picture image"),
-    _rule("internet.url", "website homepage"),
-    _rule("internet.userAgent", "useragent"),
-    _rule("internet.ipv4", "ipaddress ipaddr", "ip"),
-    _rule("internet.mac", "macaddress", "mac"),
-    _rule("internet.url", "", "url uri link href"),
-    _rule("lorem.slug", "permalink", "slug"),
-    _rule("location.street", "addressline streetaddress street"),
-    _rule("location.street", "", "address"),
-    _rule("location.city", "", "city town"),
-    _rule("location.state", "", "state province region"),
-    _rule("location.country", "", "country"),
-    _rule("location.zipCode", "zipcode postalcode postcode", "zip"),
-    _rule("location.latitude", "latitude", "lat"),
-    _rule("location.longitude", "longitude", "lng lon"),
-    _rule("location.timeZone", "timezone"),
-    _rule("finance.currencyCode", "", "currency"),
-    _rule("finance.iban", "", "iban"),
-    _rule("finance.creditCardNumber", "creditcard cardnumber"),
-    _rule("commerce.price", "price amount subtotal salary", "cost total balance fee"),
-    _rule("commerce.productName", "productname"),
-    _rule("commerce.product", "", "product"),
-    _rule("color.human", "color colour"),
-    _rule("lorem.sentence", "headline", "title subject"),
-    _rule("lorem.paragraph", "description", "summary bio about body content message comment text note notes"),
-    _rule("date.past", "firstseen createdat insertedat registeredat", "created"),
-    _rule("date.recent", "updatedat modifiedat lastseen lastlogin"),
-    _rule("date.future", "deletedat expiresat expiredat"),
-    _rule("date.birthdate", "birthdate dateofbirth birthday", "dob"),
-    _rule("person.sex", "", "gender sex"),
-    _rule("string.uuid", "", "uuid guid"),
+    rule("internet.email", "email"),
+    rule("internet.username", "", "username login handle"),
+    rule("internet.password", "password passwd pwd"),
+    rule("person.firstName", "firstname givenname"),
+    rule("person.lastName", "lastname surname familyname"),
+    rule("person.middleName", "middlename"),
+    rule("person.fullName", "fullname displayname"),
+    rule("person.fullName", "contactname", "", "name"),
+    rule("company.name", "company organization organisation employer"),
+    rule("person.jobTitle", "jobtitle occupation", "position role"),
+    rule("phone.number", "phone mobile", "cell fax"),
+    rule("image.url", "avatar profilepic thumbnail", "photo picture image"),
+    rule("internet.url", "website homepage"),
+    rule("internet.userAgent", "useragent"),
+    rule("internet.ipv4", "ipaddress ipaddr", "ip"),
+    rule("internet.mac", "macaddress", "mac"),
+    rule("internet.url", "", "url uri link href"),
+    rule("lorem.slug", "permalink", "slug"),
+    rule("location.street", "addressline streetaddress street"),
+    rule("location.street", "", "address"),
+    rule("location.city", "", "city town"),
+    rule("location.state", "", "state province region"),
+    rule("location.country", "", "country"),
+    rule("location.zipCode", "zipcode postalcode postcode", "zip"),
+    rule("location.latitude", "latitude", "lat"),
+    rule("location.longitude", "longitude", "lng lon"),
+    rule("location.timeZone", "timezone"),
+    rule("finance.currencyCode", "", "currency"),
+    rule("finance.iban", "", "iban"),
+    rule("finance.creditCardNumber", "creditcard cardnumber"),
+    rule("commerce.price", "price amount subtotal salary", "cost total balance fee"),
+    rule("commerce.productName", "productname"),
+    rule("commerce.product", "", "product"),
+    rule("color.human", "color colour"),
+    rule("lorem.sentence", "headline", "title subject"),
+    rule("lorem.paragraph", "description", "summary bio about body content message comment text note notes"),
+    rule("date.past", "firstseen createdat insertedat registeredat", "created"),
+    rule("date.recent", "updatedat modifiedat lastseen lastlogin"),
+    rule("date.future", "deletedat expiresat expiredat"),
+    rule("date.birthdate", "birthdate dateofbirth birthday", "dob"),
+    rule("person.sex", "", "gender sex"),
+    rule("string.uuid", "", "uuid guid"),
 )
 
 #: Whole numbers by name: (parts, words, lowest, highest).
 NUMBER_RULES = (
-    (_rule("age", "", "age"), 0, 95),
-    (_rule("year", "", "year"), 1970, 2025),
-    (_rule("quantity", "quantity", "qty"), 1, 100),
-    (_rule("rating", "rating", "stars"), 1, 5),
-    (_rule("score", "", "score points"), 0, 100),
-    (_rule("percentage", "percentage percent", "discount"), 0, 100),
-    (_rule("count", "", "count"), 0, 1000),
+    (rule("age", "", "age"), 0, 95),
+    (rule("year", "", "year"), 1970, 2025),
+    (rule("quantity", "quantity", "qty"), 1, 100),
+    (rule("rating", "", "rating stars"), 1, 5),
+    (rule("score", "", "score points"), 0, 100),
+    (rule("percentage", "percentage", "percent discount"), 0, 100),
+    (rule("count", "", "count"), 0, 1000),
 )
-MONEY = _rule("money", "price amount subtotal salary", "cost total balance fee")
+MONEY = rule("money", "price amount subtotal salary", "cost total balance fee")
 MONEY_TOP = 10_000
 
-#: JSON documents by name.
+# Which names mean what document. The first match wins.
 JSON_RULES = (
-    _rule("address", "address"),
-    _rule("point", "", "location coordinates coords geo position"),
-    _rule("tags", "", "tags labels keywords categories"),
-    _rule("permissions", "", "permissions roles scopes"),
-    _rule("settings", "", "settings preferences config options"),
-    _rule("dimensions", "", "dimensions size"),
-    _rule("contact", "", "contact"),
-    _rule("price", "", "price amount money cost"),
-    _rule("profile", "", "profile"),
+    rule("address", "shippingaddress billingaddress", "address"),
+    rule("point", "latlng", "coordinates coords geo location"),
+    rule("tags", "", "tags labels keywords categories"),
+    rule("permissions", "", "permissions scopes roles"),
+    rule("settings", "", "settings preferences prefs config configuration options"),
+    rule("dimensions", "dimensions", "size"),
+    rule("contact", "", "contact"),
+    rule("price", "pricing", "price money cost"),
+    rule("profile", "", "profile"),
 )
 
 
@@ -114,8 +114,8 @@ def text_rule(name: str) -> str | None:
 
 def number_rule(name: str) -> tuple[int, int] | str | None:
     """(lowest, highest), "money", or None."""
-    for rule, lo, hi in NUMBER_RULES:
-        if rule.matches(name):
+    for r, lo, hi in NUMBER_RULES:
+        if r.matches(name):
             return lo, hi
     return "money" if MONEY.matches(name) else None
 

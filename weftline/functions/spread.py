@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from weftline.functions.draw import Draw
 
 SCALE = 1_000_000
-#: Up to so many ranks have their weights computed on the driver; more are computed in the plan.
-INLINE = 10_000
 #: Ranks in a run whose total is summed ahead of the running sum.
 RUN = 4096
 

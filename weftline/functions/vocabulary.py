@@ -19,22 +19,57 @@ AGENTS = ["Mozilla/5.0 (X11; Linux x86_64)", "Mozilla/5.0 (Macintosh)", "Mozilla
 PERMISSIONS = ["read", "write", "delete", "share", "invite", "admin"]
 SEXES = ["female", "male"]
 
-#: For coherent places: a state's abbreviation, its first ZIP code prefix (three digits), and cities in it.
+#: For coherent places: a state's abbreviation, a ZIP code prefix (three digits) in use there, and cities in it.
 STATES = {
+    "AL": (350, ["Birmingham", "Mobile", "Huntsville"]),
+    "AK": (995, ["Anchorage", "Juneau", "Fairbanks"]),
     "AZ": (850, ["Phoenix", "Tucson", "Mesa"]),
+    "AR": (722, ["Little Rock", "Fayetteville", "Jonesboro"]),
     "CA": (900, ["Los Angeles", "San Diego", "Fresno"]),
-    "CO": (800, ["Denver", "Aurora", "Boulder"]),
-    "FL": (330, ["Miami", "Tampa", "Orlando"]),
+    "CO": (802, ["Denver", "Aurora", "Boulder"]),
+    "CT": (61, ["Hartford", "New Haven", "Stamford"]),
+    "DE": (198, ["Wilmington", "Dover", "Newark"]),
+    "DC": (200, ["Washington"]),
+    "FL": (331, ["Miami", "Tampa", "Orlando"]),
     "GA": (303, ["Atlanta", "Macon", "Savannah"]),
+    "HI": (968, ["Honolulu", "Hilo", "Kailua"]),
+    "ID": (837, ["Boise", "Nampa", "Pocatello"]),
     "IL": (606, ["Chicago", "Peoria", "Joliet"]),
+    "IN": (462, ["Indianapolis", "Fort Wayne", "Evansville"]),
+    "IA": (503, ["Des Moines", "Davenport", "Dubuque"]),
+    "KS": (672, ["Wichita", "Topeka", "Salina"]),
+    "KY": (402, ["Louisville", "Lexington", "Paducah"]),
+    "LA": (701, ["New Orleans", "Baton Rouge", "Shreveport"]),
+    "ME": (41, ["Portland", "Bangor", "Augusta"]),
+    "MD": (212, ["Baltimore", "Annapolis", "Frederick"]),
     "MA": (21, ["Boston", "Lowell", "Salem"]),
     "MI": (482, ["Detroit", "Flint", "Lansing"]),
     "MN": (554, ["Minneapolis", "Duluth", "Rochester"]),
-    "NC": (282, ["Charlotte", "Durham", "Raleigh"]),
+    "MS": (392, ["Jackson", "Biloxi", "Tupelo"]),
+    "MO": (631, ["Saint Louis", "Kansas City", "Springfield"]),
+    "MT": (591, ["Billings", "Missoula", "Helena"]),
+    "NE": (681, ["Omaha", "Lincoln", "Kearney"]),
+    "NV": (891, ["Las Vegas", "Reno", "Elko"]),
+    "NH": (31, ["Manchester", "Nashua", "Concord"]),
+    "NJ": (71, ["Newark", "Trenton", "Camden"]),
+    "NM": (871, ["Albuquerque", "Santa Fe", "Roswell"]),
     "NY": (100, ["New York", "Albany", "Buffalo"]),
+    "NC": (282, ["Charlotte", "Durham", "Raleigh"]),
+    "ND": (581, ["Fargo", "Bismarck", "Minot"]),
     "OH": (432, ["Columbus", "Toledo", "Dayton"]),
+    "OK": (731, ["Oklahoma City", "Tulsa", "Norman"]),
     "OR": (972, ["Portland", "Salem", "Eugene"]),
     "PA": (191, ["Philadelphia", "Erie", "Scranton"]),
-    "TX": (750, ["Dallas", "Austin", "Houston"]),
+    "RI": (29, ["Providence", "Newport", "Warwick"]),
+    "SC": (292, ["Columbia", "Charleston", "Greenville"]),
+    "SD": (571, ["Sioux Falls", "Rapid City", "Pierre"]),
+    "TN": (381, ["Memphis", "Nashville", "Knoxville"]),
+    "TX": (752, ["Dallas", "Austin", "Houston"]),
+    "UT": (841, ["Salt Lake City", "Provo", "Ogden"]),
+    "VT": (54, ["Burlington", "Montpelier", "Rutland"]),
+    "VA": (232, ["Richmond", "Norfolk", "Roanoke"]),
     "WA": (981, ["Seattle", "Tacoma", "Spokane"]),
+    "WV": (253, ["Charleston", "Huntington", "Wheeling"]),
+    "WI": (532, ["Milwaukee", "Madison", "Green Bay"]),
+    "WY": (820, ["Cheyenne", "Casper", "Laramie"]),
 }

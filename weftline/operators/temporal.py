@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import instants
 from weftline.functions.draw import Draw
 from weftline.functions.instants import DAY
-from weftline.functions.names import joined
+from weftline.functions.names import joined, tokens
 from weftline.sources.model import Table
 
 # What instants a name tells of. The first role that matches counts.
@@ -47,7 +47,7 @@ def role(name: str, kind: str) -> str | None:
         return None
     whole = joined(name)
     found = next((r for r, parts in ROLES if any(p in whole for p in parts)), None)
-    return found or ("created" if whole == "created" else None)
+    return found or ("created" if "created" in tokens(name) else None)
 
 
 def anchor(table: Table) -> str | None:
@@ -62,7 +62,8 @@ def coherent(rows: DataFrame, table: Table, draw: Draw, w: Window, floor: Column
     start and ``floor`` (the latest creation among parents) and the window's end; activity
     between created and the end; the future between created and a year past the end; an
     upper end below the lower one is the lower one. Frozen columns stay, and a frozen
-    created is still what the others follow; nulls of the others stay.
+    created is still what the others follow; nulls of the others stay. Only the first
+    column that tells of creation is drawn anew; others of that role stay as they are.
     """
     first = anchor(table)
     if first is None:
@@ -80,11 +81,8 @@ def coherent(rows: DataFrame, table: Table, draw: Draw, w: Window, floor: Column
     moved = {}
     for c in table.columns:
         r = role(c.name, c.kind)
-        if r is None or c.name == first or c.name in frozen:
+        if r in (None, "created") or c.name in frozen:
             continue
-        if r == "created" and c.kind in ("date", "timestamp"):
-            made = between(F.col(first), until, c.name) if floor is None else between(F.col(first), F.greatest(until, F.col(first)), c.name)
-        else:
-            made = between(F.col(first), until if r == "activity" else F.lit(w.future).cast("long"), c.name)
+        made = between(F.col(first), until if r == "activity" else F.lit(w.future).cast("long"), c.name)
         moved[c.name] = F.when(F.col(c.name).isNotNull(), made) if c.nullable else made
     return rows.withColumns(moved) if moved else rows
