@@ -66,7 +66,7 @@ def test_mysql_ddl():
     assert {c.name: c.kind for c in users.columns} == {"id": "integer", "kind": "enum", "flags": "enum", "ok": "boolean", "n": "integer", "name": "text", "at": "timestamp", "doc": "json", "key": "text", "total": "decimal"}
     assert users.column("kind").labels == ("A", "b") and users.column("flags").labels == ("p,q",) and users.column("total").generated
     assert users.column("id").identity and users.uniques == (("name",),) and users.checks == ("`n` in (1,2)",)
-    assert items.column("id").identity and items.foreign == (ForeignKey(("user_id",), "mine.users", ("id",)),) and items.uniques == (("user_id",),)
+    assert items.column("id").identity and items.foreign == (ForeignKey(("user_id",), "mine.users", ("id",)),) and items.uniques == (("id",), ("user_id",))
 
 
 SQLITE = """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.graph import cyclic_tables, order
 from weftline.sources.model import ForeignKey, Schema, Table
-from weftline.sources.scratch import cut
+from weftline.sources.scratch import cut, written
 
 
 def roots(df: DataFrame, table: Table, n: int) -> DataFrame:
@@ -27,17 +27,22 @@ def wanted(children: DataFrame, fk: ForeignKey) -> DataFrame:
     return keys.dropna().distinct()
 
 
+def holding(parents: DataFrame, columns: tuple[str, ...], keys: DataFrame) -> DataFrame:
+    """Parent rows with one of the keys (k0, k1, ...)."""
+    on: list[Column] = [parents[p] == keys[f"k{i}"] for i, p in enumerate(columns)]
+    return parents.join(keys, reduce(lambda a, b: a & b, on), "left_semi")
+
+
 def referred(parents: DataFrame, children: DataFrame, fk: ForeignKey) -> DataFrame:
     """Parent rows that children refer to."""
-    keys = wanted(children, fk)
-    on: list[Column] = [parents[p] == keys[f"k{i}"] for i, p in enumerate(fk.parent_columns)]
-    return parents.join(keys, reduce(lambda a, b: a & b, on), "left_semi")
+    return holding(parents, fk.parent_columns, wanted(children, fk))
 
 
 def closure(schema: Schema, frames: dict[str, DataFrame], start: dict[str, int]) -> dict[str, DataFrame]:
     """start: root table (key or name) -> number of rows. A frame for each table that has rows to give.
 
-    Without cycles this is one plan, tables visited children first. A table on a cycle
+    Without cycles tables are visited children first. The keys that a table's rows refer to
+    are written once, so a frame reads its own table and keys, not all that led to it. A table on a cycle
     is closed by rounds: each takes the parents of the rows that are new, until none is;
     every round is a checkpoint.
     """
@@ -49,13 +54,21 @@ def closure(schema: Schema, frames: dict[str, DataFrame], start: dict[str, int])
     if looped:
         return rounds(schema, frames, chosen)
     done: dict[str, DataFrame] = {}
+    asked: dict[tuple[str, tuple[str, ...]], list[DataFrame]] = {}
     for key in reversed(order(schema)[0]):
         t = schema.tables[key]
         parts = list(chosen.get(key, []))
-        for child, rows in done.items():
-            parts += [referred(frames[key], rows, f) for f in schema.tables[child].foreign if f.parent == key]
-        if parts:
-            done[key] = identity(reduce(DataFrame.unionByName, parts), t) if len(parts) > 1 or not t.primary else parts[0]
+        for (parent, columns), keys in asked.items():
+            if parent == key:
+                parts.append(holding(frames[key], columns, reduce(DataFrame.unionByName, keys).distinct()))
+        if not parts:
+            continue
+        done[key] = identity(reduce(DataFrame.unionByName, parts), t) if len(parts) > 1 or not t.primary else parts[0]
+        links = [f for f in t.foreign if f.parent in frames]
+        if links:
+            slim = written(done[key].select(*dict.fromkeys(c for f in links for c in f.columns)).distinct())
+            for f in links:
+                asked.setdefault((f.parent, tuple(f.parent_columns)), []).append(wanted(slim, f))
     return done
 
 

@@ -46,7 +46,7 @@ class Config:
     until: str | None = None
     anonymize: tuple[str, ...] = ()
     preserve: tuple[str, ...] = ()
-    rng: str = "md5"
+    rng: str = "xxhash64"
 
     def count(self, table: Table) -> int:
         return next((self.rows[k] for k in (table.name, table.key) if k in self.rows), self.default_rows)
@@ -91,14 +91,16 @@ def governed(table: Table, fk: ForeignKey, spreads: dict[str, Spread]) -> Spread
     return found if found.kind != "weighted" else Spread()
 
 
-def pool_of(rows: DataFrame, table: Table, n: int, first: int | None = None) -> Pool:
-    """A pool from a finished table's rows (or some of them)."""
+def pool_of(rows: DataFrame, table: Table, n: int, first: int | None = None, columns: set[str] | None = None) -> Pool:
+    """A pool from a finished table's rows (or some of them); columns: those that children refer to (None: all)."""
     born = temporal.anchor(table)
     extra = [instants.ms_of(F.col(born), table.column(born).kind).alias("created_")] if born else []
     key = synthetic(table)
     if key and first is not None:
         return Pool(rows.select((F.col(key) - first + 1).cast("long").alias("rank"), "*", *extra), n, (key, first))
-    ranked = dense_rank(rows.select("*", *extra), list(table.primary) or table.names())
+    order = list(table.primary) or table.names()
+    held = rows.columns if columns is None else [c for c in rows.columns if c in columns or c in order]
+    ranked = dense_rank(rows.select(*held, *extra), order)
     return Pool(ranked.withColumn("rank", F.col("rank").cast("long")), n)
 
 
@@ -266,7 +268,11 @@ def generate(spark: SparkSession, schema: Schema, config: Config, *, only: dict[
     if bad := refused(schema, config):
         raise ValueError("no values can be made for " + ", ".join(bad))
     pools, out = dict(pools or {}), {}
-    referred = {f.parent for t in schema.tables.values() for f in t.foreign if f.parent != t.key}
+    referred: dict[str, set[str]] = {}
+    for t in schema.tables.values():
+        for f in t.foreign:
+            if f.parent != t.key:
+                referred.setdefault(f.parent, set()).update(f.parent_columns)
 
     def made(key: str) -> tuple[DataFrame, Pool | None]:
         t = schema.tables[key]
@@ -275,7 +281,7 @@ def generate(spark: SparkSession, schema: Schema, config: Config, *, only: dict[
         rows = table_rows(Maker(spark, t, config, pools, start), n, (taken or {}).get(key))
         if not lazy or key in referred:
             rows = store(t, rows) if store else written(rows)
-        return rows, pool_of(rows, t, rows.count(), start) if key in referred else None
+        return rows, pool_of(rows, t, rows.count(), start, referred[key]) if key in referred else None
 
     done, waves = order(schema)
     for wave in waves:

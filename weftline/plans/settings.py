@@ -119,5 +119,5 @@ def config(found: dict, **given) -> Config:
         until=pick("until", "until", None),
         anonymize=(*found.get("anonymize", ()), *given.get("anonymize", ())),
         preserve=(*found.get("preserve", ()), *given.get("preserve", ())),
-        rng=pick("rng", "rng", "md5"),
+        rng=pick("rng", "rng", "xxhash64"),
     )

@@ -346,6 +346,8 @@ class Reader:
         c, checks = self.typed(name, type_tokens)
         draft.declared[name] = self.raw(type_tokens)
         draft.checks += checks
+        if self.dialect == "mysql" and type_tokens and type_tokens[0].text.lower() == "serial":
+            draft.unique((name,))  # an alias that says so
         while self.at < len(self.toks):
             if self.maybe("not", "null"):
                 c = replace(c, nullable=False)

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where none is set."""
+    """spark.checkpoint.dir; a folder of our own where none is set, and only on one machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
     return sc.getCheckpointDir()
 
 

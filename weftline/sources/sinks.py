@@ -118,7 +118,10 @@ def cleared(table: Table, dialect: str) -> str:
 
 
 class Parquet:
-    """Tables as Parquet under a folder; publish() moves them there once all are written."""
+    """Tables as Parquet under a folder; publish() moves them there once all are written.
+
+    A table of a schema other than ``main`` and ``public`` is called by both names.
+    """
 
     def __init__(self, folder: str) -> None:
         self.folder, self.stage, self.names = folder.rstrip("/"), f"{folder.rstrip('/')}/_stage-{uuid.uuid4().hex}", []
@@ -130,21 +133,28 @@ class Parquet:
     def keep(self, table: Table, rows: DataFrame) -> DataFrame:
         """Write the table, and give back what was written; for generate(store=...)."""
         self.spark = rows.sparkSession
-        path = f"{self.stage}/{table.name}.parquet"
+        name = table.name if table.schema in ("main", "public") else table.key
+        path = f"{self.stage}/{name}.parquet"
         rows.write.parquet(path)
-        self.names.append(table.name)
+        self.names.append(name)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def publish(self) -> None:
-        """Renames within one file system; a table that is there already is replaced."""
+        """Renames within one file system; a table that is there already is replaced, and put back if that fails."""
         if self.spark is None:
             return
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path
         fs = path(self.folder).getFileSystem(conf)
         for n in self.names:
-            fs.delete(path(f"{self.folder}/{n}.parquet"), True)
-            fs.rename(path(f"{self.stage}/{n}.parquet"), path(f"{self.folder}/{n}.parquet"))
+            new, old, place = (path(x) for x in (f"{self.stage}/{n}.parquet", f"{self.stage}/{n}.old", f"{self.folder}/{n}.parquet"))
+            had = fs.exists(place)
+            if had and not fs.rename(place, old):
+                raise OSError(f"{self.folder}/{n}.parquet could not be moved")
+            if not fs.rename(new, place):
+                if had:
+                    fs.rename(old, place)
+                raise OSError(f"{self.folder}/{n}.parquet could not be published")
         fs.delete(path(self.stage), True)
 
 
