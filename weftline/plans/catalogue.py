@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import q_audit, q_model, q_relation, q_values
+from weftline.plans import q_audit, q_draws, q_front, q_model, q_relation, q_values
 
-MODULES = (q_audit, q_relation, q_values, q_model)
+MODULES = (q_audit, q_relation, q_values, q_model, q_front, q_draws)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in MODULES for k, s in m.ORACLES.items()}

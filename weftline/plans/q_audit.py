@@ -62,6 +62,13 @@ def audit_array_elements(spark: SparkSession, sf: str) -> DataFrame:
     return e.agg(F.sum(F.size("embedding")).cast("long").alias("n_elements"), F.sum(out).cast("long").alias("violations"))
 
 
+def audit_array_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements of arrays that are none of the labels."""
+    roles = _read(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
+    wrong = F.size(F.filter("roles", lambda r: ~r.isin("user", "assistant"))).cast("long")
+    return roles.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("roles")).cast("long").alias("n_elements"), F.sum(wrong).alias("violations"))
+
+
 def audit_json_valid(spark: SparkSession, sf: str) -> DataFrame:
     e = _read(spark, sf, "events")
     return e.agg(F.sum(F.when(F.col("props").isNotNull() & F.try_parse_json("props").isNull(), 1).otherwise(0)).cast("long").alias("violations"), F.sum(F.when(F.get_json_object("props", "$.k").isNotNull(), 1).otherwise(0)).cast("long").alias("n_with_k"))
@@ -70,8 +77,10 @@ def audit_json_valid(spark: SparkSession, sf: str) -> DataFrame:
 def audit_partition_routing(spark: SparkSession, sf: str) -> DataFrame:
     o = _read(spark, sf, "orders")
     year = F.year("o_orderdate")
-    bounds = o.select(F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"), F.lit(0)).when(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"), F.lit(1)).otherwise(F.lit(2)).alias("bucket"))
-    return audit.routing(o, F.when(year < 1995, 0).when(year < 1997, 1).otherwise(2), bounds)
+    # parts as they would be loaded, each by its own bounds, but for one day's rows that went to the wrong part
+    late = F.col("o_orderdate").cast("date") == F.lit("1996-12-31").cast("date")
+    parts = [o.where((F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz"))).select(F.lit(0).alias("bucket")), o.where((year >= 1995) & (year < 1997) & ~late).select(F.lit(1).alias("bucket")), o.where((year >= 1997) | late).select(F.lit(2).alias("bucket"))]
+    return audit.routing(o, F.when(year < 1995, 0).when(year < 1997, 1).otherwise(2), audit.together(parts))
 
 
 def audit_temporal_child_vs_parent(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,6 +126,7 @@ QUERIES = {
     "audit_length_bounds": _bounds(LENGTHS),
     "audit_regex": _bounds(PATTERNS),
     "audit_array_elements": audit_array_elements,
+    "audit_array_labels": audit_array_labels,
     "audit_json_valid": audit_json_valid,
     "audit_partition_routing": audit_partition_routing,
     "audit_temporal_child_vs_parent": audit_temporal_child_vs_parent,
@@ -150,7 +160,10 @@ ORACLES = {
     "audit_regex": _each([_count("part", "p_brand", "NOT regexp_matches(p_brand, '^Brand#[1-3][0-9]*$')"), _count("customer", "c_name", "NOT regexp_matches(c_name, '^Customer#[0-9]*[02468]$')")]),
     "audit_array_elements": "SELECT count(*) AS n_elements, count(*) FILTER (WHERE x < -0.25 OR x > 0.25) AS violations FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings)",
     "audit_json_valid": "SELECT count(*) FILTER (WHERE props IS NOT NULL AND NOT json_valid(props)) AS violations, count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NOT NULL) AS n_with_k FROM events",
-    "audit_partition_routing": "WITH b AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 0 WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 1 ELSE 2 END AS bucket FROM orders) SELECT bucket, count(*) AS n_parent, count(*) AS n_child FROM b GROUP BY bucket",
+    "audit_partition_routing": """WITH b AS (SELECT CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 0 WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 1 ELSE 2 END AS own, o_orderdate::DATE = DATE '1996-12-31' AS late FROM orders),
+p AS (SELECT own AS bucket, count(*) AS n FROM b GROUP BY 1), c AS (SELECT CASE WHEN late THEN 2 ELSE own END AS bucket, count(*) AS n FROM b GROUP BY 1)
+SELECT coalesce(p.bucket, c.bucket) AS bucket, coalesce(p.n, 0)::BIGINT AS n_parent, coalesce(c.n, 0)::BIGINT AS n_child FROM p FULL JOIN c ON p.bucket = c.bucket""",
+    "audit_array_labels": "SELECT count(DISTINCT conv_id) AS n_rows, count(*) AS n_elements, count(*) FILTER (WHERE role NOT IN ('user', 'assistant')) AS violations FROM conversations",
     "audit_temporal_child_vs_parent": "SELECT 'lineitem.l_shipdate before orders.o_orderdate' AS subject, count(*) FILTER (WHERE l_shipdate < o_orderdate) AS violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "audit_null_counts": _each([f"SELECT '{t}.{c}' AS column_name, count(*) - count({c}) AS n_null FROM {t}" for t, cs in (("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")), ("events", ("event_id", "ts", "user_id", "event_type", "value", "props"))) for c in cs]),
     "audit_distinct_labels": "SELECT DISTINCT o_orderpriority FROM orders",

@@ -20,6 +20,7 @@ from weftline.sources import sinks
 from weftline.sources.ddl import load
 from weftline.sources.model import Column, ForeignKey, Schema, Table, stored
 
+# The tables of the published benchmark, so that figures can be compared like for like.
 #: The model of an online shop, in DDL; generated by the flagship query and the bench.
 SHOP = """
 CREATE TABLE categories (id INTEGER PRIMARY KEY, name TEXT NOT NULL, slug TEXT NOT NULL UNIQUE, parent_id INTEGER REFERENCES categories(id));
@@ -105,7 +106,7 @@ NEW = ["alpha", "beta", "gamma", "delta", "omega"]
 
 def _scrubbed(spark: SparkSession, sf: str, names: tuple[str, ...], **options) -> dict[str, DataFrame]:
     schema, frames = stored(spark, sf, names)
-    return anonymize(schema, frames, Config(seed=9, **options))
+    return anonymize(schema, frames, Config(seed=9, rng="md5", **options))
 
 
 CUSTOMER_KEPT = ("c_name", "c_nationkey", "c_acctbal")
@@ -134,7 +135,9 @@ def anon_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anon_preserve(spark: SparkSession, sf: str) -> DataFrame:
-    return _scrubbed(spark, sf, ("nation", "region"), preserve=("nation.n_name", "r_name"))["main.nation"]
+    """Of two columns of labels one is preserved, the other is not."""
+    out = _scrubbed(spark, sf, ("orders", "customer"), columns={"o_orderpriority": {"values": NEW}}, preserve=("orders.o_orderstatus", "o_totalprice", "o_orderdate", *CUSTOMER_KEPT, "c_mktsegment"))
+    return out["main.orders"].select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
 def anon_null(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,8 +152,10 @@ def anon_null(spark: SparkSession, sf: str) -> DataFrame:
 def anon_leak_audit(spark: SparkSession, sf: str) -> DataFrame:
     out = _scrubbed(spark, sf, ("customer",), columns={"c_mktsegment": {"values": NEW}})["main.customer"]
     old = spark.read.parquet(f"{sf}/customer.parquet")
-    leaks = {c: out.select(c).join(old.select(F.col(c).alias("o")).distinct(), F.col(c) == F.col("o"), "left_semi") for c in ("c_name", "c_mktsegment")}
-    return audit.together([df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(c).alias("subject"), "violations") for c, df in leaks.items()])
+    # rows of which every seventh was put back as it was: the audit must find just those
+    mixed = out.join(old.select("c_custkey", F.col("c_name").alias("was")), "c_custkey").withColumn("c_name", F.when(F.col("c_custkey") % 7 == 0, F.col("was")).otherwise(F.col("c_name")))
+    found = {"c_name": audit.leaks(old, out, "c_name"), "c_mktsegment": audit.leaks(old, out, "c_mktsegment"), "c_name put back": audit.leaks(old, mixed, "c_name")}
+    return audit.together([df.select(F.lit(c).alias("subject"), "violations") for c, df in found.items()])
 
 
 def anon_consistency(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,6 +165,15 @@ def anon_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return out.join(old, "o_orderkey").groupBy("original").agg(F.count_distinct("o_orderpriority").alias("n_fakes"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def anon_inconsistent(spark: SparkSession, sf: str) -> DataFrame:
+    """Originals with more than one fake: none, and the two that were tampered with."""
+    out = _scrubbed(spark, sf, ("orders", "customer"), columns={"o_orderpriority": {"values": NEW}})["main.orders"]
+    old = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_orderpriority").alias("original"))
+    pairs = out.join(old, "o_orderkey").select("original", F.col("o_orderpriority").alias("fake"))
+    spoilt = pairs.union(spark.createDataFrame([("1-URGENT", "?"), ("5-LOW", "?")], "original string, fake string"))
+    return audit.together([audit.inconsistent(p, "original", "fake").select(F.lit(n).alias("subject"), "violations") for n, p in (("as made", pairs), ("spoilt", spoilt))])
+
+
 def _emitted(dialect: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         parts = []
@@ -208,7 +222,7 @@ def ddl_to_model(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, column_name string, kind string, nullable boolean, is_identity boolean, is_primary boolean, parent string")
 
 
-QUERIES = {f.__name__: f for f in (gen_shop_graph, gen_unique_rounds, gen_unique_exhausted, gen_temporal, gen_coherent_names, gen_coherent_places, anon_local, anon_group, anon_unique, anon_preserve, anon_null, anon_leak_audit, anon_consistency, emit_copy_lines, emit_insert_heads, plan_generate, plan_append, plan_subset, ddl_to_model)} | {"emit_pg_literals": _emitted("postgres"), "emit_mysql_literals": _emitted("mysql"), "emit_sqlite_literals": _emitted("sqlite")}
+QUERIES = {f.__name__: f for f in (gen_shop_graph, gen_unique_rounds, gen_unique_exhausted, gen_temporal, gen_coherent_names, gen_coherent_places, anon_local, anon_group, anon_unique, anon_preserve, anon_null, anon_leak_audit, anon_consistency, anon_inconsistent, emit_copy_lines, emit_insert_heads, plan_generate, plan_append, plan_subset, ddl_to_model)} | {"emit_pg_literals": _emitted("postgres"), "emit_mysql_literals": _emitted("mysql"), "emit_sqlite_literals": _emitted("sqlite")}
 
 
 def _hash(value: str) -> str:
@@ -268,9 +282,10 @@ ORACLES = {
 m AS (SELECT k, (SELECT max(k) FROM o) + row_number() OVER (ORDER BY md5(k::VARCHAR), k) AS f FROM o)
 SELECT o_orderkey, f AS o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN m ON k = o_custkey""",
     "anon_unique": "SELECT count(*) AS n_rows, count(*) AS n_names, 0::BIGINT AS leaked FROM customer",
-    "anon_preserve": "SELECT * FROM nation",
+    "anon_preserve": f"SELECT o_orderkey, o_orderstatus, {_pick('o_orderpriority', 'orders.o_orderpriority')} AS o_orderpriority FROM orders",
     "anon_null": "SELECT count(*) FILTER (WHERE c_custkey % 5 = 0) AS n_null, 0::BIGINT AS changed FROM customer",
-    "anon_leak_audit": "SELECT * FROM (VALUES ('c_name', 0::BIGINT), ('c_mktsegment', 0)) t(subject, violations)",
+    "anon_leak_audit": "SELECT * FROM (VALUES ('c_name', 0::BIGINT), ('c_mktsegment', 0)) t(subject, violations) UNION ALL SELECT 'c_name put back', count(*) FROM customer WHERE c_custkey % 7 = 0",
+    "anon_inconsistent": "SELECT 'as made' AS subject, 0::BIGINT AS violations UNION ALL SELECT 'spoilt', count(DISTINCT o_orderpriority) FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')",
     "anon_consistency": "SELECT o_orderpriority AS original, 1::BIGINT AS n_fakes, count(*) AS n_rows FROM orders GROUP BY 1",
     "emit_copy_lines": r"SELECT doc_id, concat_ws(chr(9), doc_id, " + ", ".join(f"coalesce(replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't'), chr(92) || 'N')" for c in ("text", "lang", "source")) + ", coalesce(n_chars::VARCHAR, chr(92) || 'N')) AS line FROM documents",
     "emit_insert_heads": """SELECT * FROM (VALUES
