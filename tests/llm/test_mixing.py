@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from weftline.llm.mixing import interleaved, mixed
+from weftline.llm.mixing import COLUMNS, interleaved, mixed
 
 SCHEMA = "doc_id long, source string, h string, b int"
 
@@ -54,8 +54,47 @@ def test_interleaved_and_empty(spark):
     assert interleaved(df).count() == df.count()
     empty = spark.createDataFrame([], SCHEMA)
     assert mixed(empty).collect() == []
-    clash = spark.createDataFrame([(1, "a", 5, 6)], "doc_id long, source string, mix_slot int, src int")
-    assert mixed(clash.drop("mix_slot")).columns[:3] == ["doc_id", "source", "src"]
+
+
+@pytest.mark.parametrize("names", [["mix_position", "B", "Lead", "n_src"], ["row", "node", "W", "Mix_Slot"], ["k", "at", "h", "a.b"]])
+def test_clashing_columns_come_back_whole(spark, names):
+    given = [(i, f"s{i % 3}", i * 7, i * 11, i * 13, i * 17) for i in range(60)]
+    df = spark.createDataFrame(given, "doc_id long, source string, " + ", ".join(f"`{n}` int" for n in names))
+    got = interleaved(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == given
+    full = mixed(df)
+    assert full.columns == ["doc_id", "source", *(f"docs_{n}" if n.lower().startswith("mix_") else n for n in names), *COLUMNS]
+    assert sorted(tuple(r)[:6] for r in full.collect()) == given
+    assert [r.doc_id for r in got.collect()] == [r.doc_id for r in sorted(full.collect(), key=lambda r: r.mix_position)]
+
+
+def test_many_sources_are_scheduled_in_a_tree(spark, monkeypatch):
+    import weftline.llm.mixing as m
+
+    monkeypatch.setattr(m, "FAN", 8)
+    monkeypatch.setattr(m, "CHUNK", 32)
+    sizes = {"big": 900, **{f"t{k}": 9 + k % 5 for k in range(100)}}
+    given = [(1000 * n + i, s) for n, (s, c) in enumerate(sizes.items()) for i in range(c)]
+    target = {"big": 100, **dict.fromkeys(list(sizes)[1:], 3)}
+    df = spark.createDataFrame(given, "doc_id long, source string")
+    levels = m.tree(m.wishes(df.groupBy(m.F.concat(m.F.lit("s"), "source").alias("src")).count().withColumnRenamed("count", "n"), target), 100)
+    assert len(levels) > 2 and all(r.n < 100 for x in levels for r in x.groupBy("parent").count().withColumnRenamed("count", "n").collect())
+    got = sorted(mixed(df, target=target, quantum=100, block=1).collect(), key=lambda r: r.mix_position)
+    assert sorted((r.doc_id, r.source) for r in got) == sorted(given)
+    assert [r.mix_position for r in got] == list(range(1, len(given) + 1))
+    assert [r.mix_slot for r in got] == sorted({r.mix_slot for r in got})
+    # a fourth of the slots are the big source's, from the start
+    for n, slot in enumerate(r.mix_slot for r in got if r.source == "big"):
+        assert abs(slot - n * 4) <= 4 + n / 10  # weights are whole parts of 100
+    # every source gets on at about the pace of its weight
+    end = {s: max(r.mix_slot for r in got if r.source == s) for s in sizes}
+    assert max(end[s] / sizes[s] for s in list(sizes)[1:]) < 2.2 * min(end[s] / sizes[s] for s in list(sizes)[1:])
+
+
+def test_unequal_targets_keep_their_shares(spark):
+    given = [(i, "a" if i < 3 else "b") for i in range(9003)]
+    got = mixed(spark.createDataFrame(given, "doc_id long, source string"), target={"a": 1, "b": 3000}, block=1).collect()
+    assert sorted(r.mix_slot // 3001 for r in got if r.source == "a") == [0, 1, 2]
 
 
 def test_python_free(spark):

@@ -2,25 +2,26 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.mixing import mixed
+from weftline.llm.mixing import LONGEST, mixed
 from weftline.llm.shared import table
 
 QUANTUM, BLOCK = 1000, 16
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixed(docs, quantum=QUANTUM, block=BLOCK)
+    """Whole rows are mixed: their digests decide the order. Texts aren't carried along."""
+    return mixed(table(spark, sf_dir, "documents"), quantum=QUANTUM, block=BLOCK, carry=["doc_id", "source"])
 
 
 QUERIES = {"op1_pfair_mixing": op1_pfair_mixing}
 ORACLES = {
     "op1_pfair_mixing": f"""
 WITH RECURSIVE r AS (
-  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src, md5(concat_ws('|', doc_id, source)) AS h FROM documents),
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src, md5(concat_ws('|', doc_id, source, text, lang, n_chars)) AS h FROM documents),
 d AS (SELECT doc_id, source, src, row_number() OVER (PARTITION BY src ORDER BY h, doc_id) - 1 AS k FROM r),
 c AS (SELECT src, greatest(1, floor(sqrt(count(*))))::BIGINT AS r FROM r GROUP BY src),
-w AS (SELECT src, greatest(1, ({2 * QUANTUM} * r + t) // (2 * t))::BIGINT AS w FROM c, (SELECT sum(r)::BIGINT AS t FROM c)),
+w AS (SELECT src, CASE WHEN n = 1 THEN 1 ELSE greatest(1, (2 * parts * r + t) // (2 * t)) END::BIGINT AS w
+  FROM c, (SELECT count(*) AS n, sum(r)::BIGINT AS t, greatest({QUANTUM}, least({LONGEST}, sum(r)::BIGINT // min(r))) AS parts FROM c)),
 s AS (SELECT list(src ORDER BY src) AS names, list(w ORDER BY src) AS ws, sum(w)::BIGINT AS q FROM w),
 -- before slot t, source j has had ks[j] blocks; of those released the one due first goes
 e AS (

@@ -16,12 +16,19 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to numpy in pieces of about so many bytes.
 SLICE_BYTES = 1 << 20
+#: Rows of a side that is broadcast at most; a larger one is joined by a shuffle.
+SENT = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, whatever is in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text, mod 4; rows of fold 2 are held out. A null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4, F.lit(0))
@@ -46,6 +53,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df, a few numbers a row, marked for a broadcast if it has SENT rows at most; df must be cheap to count."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
 class Scratch:
     """Intermediate tables as compressed Parquet under the shared folder, ``weftline-*``."""
 

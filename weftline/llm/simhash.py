@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components, forest
-from weftline.llm.shared import Scratch, cut, mix, prefix_hash, runs, slices, span_hash, tidied
+from weftline.llm.shared import Scratch, cut, mix, prefix_hash, runs, sized, slices, span_hash, tidied
 
 #: Fingerprints in a tile, and in the piece of a tile that is compared at once.
 TILE, PIECE = 2048, 256
@@ -249,8 +249,6 @@ BANDS, LEAST = 14, 5
 ORDERS = mix(np.arange(1, BANDS * LEAST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Shingles a task counts at once, the share of its texts that makes one common, and common ones that are broadcast at most.
 COUNTED, OFTEN, COMMON = 1 << 15, 1 / 1024, 1 << 17
-#: Rows of a side that is broadcast at most; a larger one is joined by a shuffle.
-SENT = 1 << 20
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -366,11 +364,6 @@ def sketches(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("t1", "t2", "text").mapInArrow(tidied(run), "t1 long, t2 long, n long, s1 long, s2 long, parity array<long>, bands array<long>, firsts array<long>, often array<boolean>")
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """df, marked for a broadcast if it has SENT rows at most; df must be cheap to count."""
-    return F.broadcast(df) if df.count() <= SENT else df
-
-
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that neither sizes nor whole parities (nodes: node, n, parity) show to be too different."""
     p, q = SHARE
