@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.features import labelled, words
-from weftline.llm.shared import fold, mix, slices, tidied
+from weftline.llm.shared import fold, mix, named, slices, tidied
 
 BITS, DIM, GRAM = 16, 8, 3
 #: Labelled rows the model is fitted on, at most (in expectation); passes over them; rate at the start.
@@ -138,7 +138,11 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with their own columns, that score GOOD or more."""
-    inner = docs.withColumnsRenamed({"quality_score": "c_quality_score"})
-    out = scored(inner, fit(docs, labels)).where(F.col("quality_score") >= GOOD).drop("quality_score")
-    return out.withColumnsRenamed({"c_quality_score": "quality_score"})
+    """The rows of docs, with their own columns whatever their names, that score GOOD or more.
+
+    Null and empty texts get the score of no features; rows that repeat an id or a text, and texts of
+    any length, are each judged whole; a score of just GOOD is kept. An empty table gives an empty table.
+    """
+    inner = docs.select(F.struct(*map(named, docs.columns)).alias("row"), "text")
+    out = scored(inner, fit(docs, labels)).where(F.col("quality_score") >= GOOD)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
