@@ -7,8 +7,7 @@ from weftline.llm.shared import table
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    return top_k(rows, rows.where("vec_id % 20 = 0"), k=20, scale=64.0)
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, scale=64.0)
 
 
 QUERIES = {"op8_exact_topk": op8_exact_topk}
