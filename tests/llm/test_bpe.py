@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 
-from weftline.llm.bpe import bpe, encoder
+from weftline.llm.bpe import Encoder, bpe, encoder
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -37,16 +38,53 @@ def test_ids_as_the_library_gives(library):
         assert e.decode(packed) == t.encode()
 
 
-def test_queue_and_lanes_agree(library):
-    e = encoder(PATH, P.PATTERN)
-    rng = random.Random(4)
-    pieces = ["".join(rng.choice("abcde éß") for _ in range(rng.randrange(2, 40))).encode() for _ in range(400)]
-    for p, packed in zip(pieces, e.lanes(pieces), strict=True):
-        ids = np.frombuffer(packed, "<u4").tolist()
-        assert ids == e.merge(p) or p in e.ranks
-        assert b"".join(e.vocab[i] for i in e.merge(p)) == p
-    long = ("lorem" * 4000).encode()
-    assert e.merge(long) == library.encode_ordinary("lorem" * 4000)
+def by_definition(piece, ranks):
+    """Merge the leftmost of the pairs with the lowest rank until none has one."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]  # noqa: B905
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_queue_as_defined_for_any_ranks(seed):
+    # ranks in any order: a merge may bring a pair of a lower rank than its own
+    rng = random.Random(seed)
+    tokens = {bytes(rng.choices(b"abc", k=rng.randrange(2, 7))) for _ in range(60)}
+    ranks = dict(zip([*(bytes([b]) for b in range(256)), *sorted(tokens, key=lambda _: rng.random())], rng.sample(range(9000), 256 + len(tokens)), strict=True))
+    e = Encoder(ranks, P.PATTERN)
+    for _ in range(300):
+        piece = bytes(rng.choices(b"abc", k=rng.randrange(1, 60)))
+        pieces = [piece, *(bytes(rng.choices(b"aaabc", k=rng.randrange(1, 60))) for _ in range(rng.randrange(4)))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.merge(pieces)] == [by_definition(x, ranks) for x in pieces]
+
+
+def test_every_new_pretoken_goes_through_the_queue(library, monkeypatch):
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    e, seen = Encoder(ranks, P.PATTERN), []
+    merge = e.merge
+    monkeypatch.setattr(e, "merge", lambda pieces, **how: seen.extend(pieces) or merge(pieces, **how))
+    for t, packed in zip(rows, e.packed(rows), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(t)
+    assert {r for t in rows for p in e.split(t) if (r := p.encode()) not in ranks} == set(seen)
+    assert len(seen) > 10_000
+
+
+def test_long_pretoken(library):
+    rng = random.Random(6)
+    for long in ("lorem" * 4000, "a" * 100_001, "".join(rng.choices("acgt", k=30_000))):
+        assert np.frombuffer(encoder(PATH, P.PATTERN).merge([long.encode()])[0], "<u4").tolist() == library.encode_ordinary(long)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "ab", [9], 7)], "doc_id long, text string, ids array<int>, n_tokens int")
+    got = bpe(df, PATH, P.PATTERN, ids=True).collect()
+    assert [r.n_tokens for r in got] == [len(got[0].ids)] and got[0].ids != [9]
 
 
 def test_operator(spark, library):

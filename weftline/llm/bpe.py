@@ -1,15 +1,13 @@
 """Byte-level BPE by the ranks of a public vocabulary file.
 
-Merges of one pre-token are taken from a queue of merge ranks. A bitmap of three
-levels marks the ranks that have candidates; find-first-set walks it to the lowest
-one. The bucket of a rank holds positions of a linked list of parts; entries that
-an earlier merge has made stale are skipped when they come up. A pre-token of n
-bytes takes O(n log n) whatever its length.
-
-Pre-tokens of up to LANE bytes, which are nearly all, are too short for the queue
-to pay in Python. Those that a batch meets first are merged side by side, a row of
-a matrix each: every step takes the leftmost lowest rank of each row. Both give the
-same ids (tests compare them with each other and with the public library).
+Merges are taken from a queue of merge ranks that many pre-tokens share. A bitmap marks
+the blocks of BLOCK ranks that have candidates, and find-first-set gives the lowest one.
+Its bucket holds positions of linked lists of parts, one list for each pre-token; entries
+that an earlier merge has made stale are skipped. Each pre-token with entries in the block takes its
+lowest rank there, which is its lowest of all, and merges from left to right; its other
+entries go back to the bucket, and the pairs that have come up go to theirs. All that is done
+for all these pre-tokens at once, in numpy. Every pre-token that is no token itself, of any
+length, goes through the queue, once for as long as a worker remembers its ids.
 """
 
 from __future__ import annotations
@@ -19,7 +17,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +27,14 @@ from pyspark.sql import DataFrame
 from weftline.llm.shared import tidied
 
 #: Once more than so many distinct pre-tokens are remembered, a worker forgets them all before its next batch.
-KEPT = 200_000
+KEPT = 400_000
+#: Pre-tokens of more bytes than this aren't remembered.
+SHORT = 40
+#: Ranks of one bit of the bitmap.
+BLOCK = 256
+NONE = np.int32(2**31 - 1)
 #: Texts split, merged and digested at a time: so many rows, or fewer of about so many characters.
 ROWS, CHARS = 2048, 4_000_000
-#: Pre-tokens of up to so many bytes are merged side by side.
-LANE = 40
-NONE = np.int32(2**31 - 1)
 
 #: Texts of these characters alone are split by the faster standard library, with the classes spelled out.
 PLAIN = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]").search
@@ -113,113 +112,83 @@ class Encoder:
         self.split_plain = re.compile(plain(pattern)).findall
         # \s of the reference library is the White_Space property, without U+001C to U+001F
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        n = len(self.vocab)
-        self.low = [0] * ((n >> 6) + 1)
-        self.mid = [0] * ((n >> 12) + 1)
         self.kept: dict[str, bytes] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks, low, mid = self.ranks, self.low, self.mid
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        n = len(piece)
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        of = [-1] * n  # the rank of the pair that starts here; -1: none, or the part is gone
-        top, buckets = 0, {}
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                of[i] = r
-                if r in buckets:
-                    buckets[r].append(i)  # ascending, so a heap
-                else:
-                    buckets[r] = [i]
-                    w = r >> 6
-                    low[w] |= 1 << (r & 63)
-                    mid[w >> 6] |= 1 << (w & 63)
-                    top |= 1 << (w >> 6)
-        while top:
-            a = (top & -top).bit_length() - 1
-            m = mid[a]
-            w = (a << 6) + (m & -m).bit_length() - 1
-            x = low[w]
-            r = (w << 6) + (x & -x).bit_length() - 1
-            bucket = buckets[r]
-            i = -1
-            while bucket:
-                i = heappop(bucket)
-                if of[i] == r:
-                    break
-                i = -1
-            if not bucket:
-                del buckets[r]
-                low[w] = x & (x - 1)
-                if not low[w]:
-                    mid[a] = m & (m - 1)
-                    if not mid[a]:
-                        top &= top - 1
-            if i < 0:
-                continue
-            j = after[i]
-            k = after[j]
-            after[i] = k
-            of[j] = -1
-            if k <= n:
-                before[k] = i
-            for p, q in ((i, after[k] if k < n else 0), (before[i], k)):
-                if p < 0:
-                    continue
-                new = ranks.get(piece[p:q]) if q else None
-                if new is None:
-                    of[p] = -1
-                elif of[p] != new:
-                    of[p] = new
-                    if new in buckets:
-                        heappush(buckets[new], p)
-                    else:
-                        buckets[new] = [p]
-                        w = new >> 6
-                        low[w] |= 1 << (new & 63)
-                        mid[w >> 6] |= 1 << (w & 63)
-                        top |= 1 << (w >> 6)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
-        return out
+    def merge(self, pieces: list[bytes], *, single: bool = False) -> list[bytes]:
+        """The packed ids of each pre-token; none may be empty. single: a pre-token makes one merge at a time.
 
-    def lanes(self, pieces: list[bytes]) -> list[bytes]:
-        """merge() of many short pre-tokens, each packed."""
-        out: list[bytes] = [b""] * len(pieces)
+        Merges of one rank that a pre-token makes at once are the same as one after
+        another unless one brings a pair of a lower rank; then it is done again, singly.
+        """
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        for n in np.unique(sizes).tolist():
-            who = np.flatnonzero(sizes == n)
-            tok = self.bytes[np.frombuffer(b"".join([pieces[i] for i in who.tolist()]), np.uint8).reshape(len(who), n)]
-            of = self.pairs(tok[:, :-1].ravel(), tok[:, 1:].ravel()).reshape(len(who), n - 1)
-            while True:
-                m = of.shape[1]
-                best = of.argmin(1) if m else None
-                low = of[np.arange(len(of)), best] if m else np.full(len(tok), NONE, np.int32)
-                over = low == NONE
-                for i, ids in zip(who[over].tolist(), tok[over].astype("<u4"), strict=True):
-                    out[i] = ids.tobytes()
-                if over.all():
-                    break
-                who, tok, of, best, low = who[~over], tok[~over], of[~over], best[~over], low[~over]
-                rows = np.arange(len(tok))
-                tok[rows, best] = low
-                keep = np.ones(tok.shape, bool)
-                keep[rows, best + 1] = False
-                tok = tok[keep].reshape(len(rows), m)
-                keep = np.ones(of.shape, bool)
-                keep[rows, np.minimum(best + 1, m - 1)] = False
-                of = of[keep].reshape(len(rows), m - 1)
-                if m > 1:
-                    right, left = np.flatnonzero(best < m - 1), np.flatnonzero(best > 0)
-                    b = best[right]
-                    of[right, b] = self.pairs(tok[right, b], tok[right, b + 1])
-                    b = best[left]
-                    of[left, b - 1] = self.pairs(tok[left, b - 1], tok[left, b])
+        owner = np.repeat(np.arange(len(pieces)), sizes)
+        n = len(owner)
+        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        first, last, gone = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        ends = np.cumsum(sizes)
+        first[ends - sizes] = last[ends - 1] = True
+        of = np.full(n, NONE, np.int32)  # the rank of the pair that starts here
+        again = np.zeros(len(pieces), bool)
+        now = np.zeros(len(pieces), np.int32)  # of several merges at once, their rank
+        bitmap, buckets = 0, {}
+
+        def rank(at: np.ndarray) -> None:
+            """Look up the pairs that start at the places given, and put them into their buckets."""
+            nonlocal bitmap
+            of[at] = r = self.pairs(ids[at], ids[after[at]])
+            some = r < NONE
+            at, r = at[some], r[some]
+            again[owner[at[r < now[owner[at]]]]] = True
+            block = r // BLOCK
+            order = np.argsort(block, kind="stable")
+            at, block = at[order], block[order]
+            edges = np.flatnonzero(np.diff(block, prepend=-1, append=NONE)).tolist()
+            for lo, hi, b in zip(edges[:-1], edges[1:], block[edges[:-1]].tolist(), strict=True):
+                buckets.setdefault(b, []).append(at[lo:hi])
+                bitmap |= 1 << b
+
+        rank(np.flatnonzero(~last))
+        while bitmap:
+            b = (bitmap & -bitmap).bit_length() - 1
+            at = np.concatenate(buckets.pop(b))
+            at = np.sort(at[of[at] // BLOCK == b])
+            at = at[np.diff(at, prepend=-1) > 0]
+            new = np.diff(owner[at], prepend=-1) != 0
+            take = of[at] == np.minimum.reduceat(of[at], np.flatnonzero(new))[np.cumsum(new) - 1] if len(at) else new
+            if single:
+                some = np.flatnonzero(take)
+                take[some[np.diff(owner[at[some]], prepend=-1) == 0]] = False
+            i = at[take]
+            if len(i) == len(at):
+                bitmap &= bitmap - 1
+            else:
+                buckets[b] = [at[~take]]
+            # of pairs that overlap every second one is merged
+            nth = np.arange(len(i))
+            chained = np.zeros(len(i), bool)
+            chained[1:] = after[i[:-1]] == i[1:]
+            i = i[(nth - np.maximum.accumulate(np.where(chained, 0, nth))) % 2 == 0]
+            r, j = of[i], after[i]
+            k, end = after[j], last[j]
+            more = np.flatnonzero(np.diff(owner[i]) == 0)
+            now[owner[i[more]]] = r[more]
+            # what is a pair only until the next merge of the same rank
+            near = more[k[more] == i[more + 1]]
+            again[owner[i[near[self.pairs(r[near], ids[i[near + 1]]) < r[near]]]]] = True
+            ids[i], after[i], last[i] = r, k, end
+            of[i] = of[j] = NONE
+            gone[j] = True
+            before[k[~end]] = i[~end]
+            rank(np.concatenate([i[~end], before[i[~first[i]]]]))
+            now[owner[i[more]]] = 0
+        edges = 4 * np.cumsum(np.bincount(owner[~gone], minlength=len(pieces)))
+        raw = ids[~gone].astype("<u4").tobytes()
+        out = [raw[lo:hi] for lo, hi in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=True)]
+        if again.any():
+            some = np.flatnonzero(again).tolist()
+            for i, packed in zip(some, self.merge([pieces[i] for i in some], single=True), strict=True):
+                out[i] = packed
         return out
 
     def packed(self, texts: list[str | None]) -> Iterator[bytes]:
@@ -231,18 +200,20 @@ class Encoder:
         for t in texts:
             pieces = (self.split if PLAIN(t) else self.split_plain)(t) if t else []
             found = list(map(kept.get, pieces))
-            texts_ids.append(found)
             at = [i for i, ids in enumerate(found) if ids is None] if None in found else []
+            texts_ids.append(found)
             holes.append([(i, pieces[i]) for i in at])
             new.update(dict.fromkeys(pieces[i] for i in at))
-        pieces = list(new)
-        raw = [p.encode() for p in pieces]
-        short = [i for i, r in enumerate(raw) if len(r) <= LANE]
-        for i, ids in zip(short, self.lanes([raw[i] for i in short]), strict=True):
-            new[pieces[i]] = kept[pieces[i]] = ids
-        for p, r in zip(pieces, raw, strict=True):
-            if len(r) > LANE:
-                new[p] = np.array(self.merge(r), "<u4").tobytes()
+        raw = {p: p.encode() for p in new}
+        queued = []
+        for p, r in raw.items():
+            if (whole := self.ranks.get(r)) is None:
+                queued.append(p)
+            else:
+                new[p] = whole.to_bytes(4, "little")
+        if queued:
+            new.update(zip(queued, self.merge([raw[p] for p in queued]), strict=True))
+        kept.update((p, new[p]) for p, r in raw.items() if len(r) <= SHORT)
         for found, at in zip(texts_ids, holes, strict=True):
             for i, p in at:
                 found[i] = new[p]
