@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,7 +63,8 @@ def test_as_defined(spark):
     assert got == {i: (f"{p:016x}", want[i]) for i, p in prints.items()}
 
 
-def test_large_sets_are_tiled(spark, monkeypatch):
+@pytest.mark.parametrize("count", [None, 1 << 26, 1 << 32])
+def test_large_sets_are_tiled(spark, monkeypatch, count):
     import weftline.llm.simhash as s
 
     monkeypatch.setattr(s, "TILE", 8)
@@ -71,7 +73,7 @@ def test_large_sets_are_tiled(spark, monkeypatch):
     seeds = [rng.getrandbits(64) for _ in range(3)]
     fps = {int(np.uint64(x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))).view(np.int64)) for x in seeds for _ in range(60)}
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    found = {r.id: r.component for r in components(s.links(df, 4)).collect()}
+    found = {r.id: r.component for r in components(s.links(df, 4, count=count)).collect()}
     want = groups({f: f & (1 << 64) - 1 for f in fps}, 4)
     for f in fps:
         assert found.get(f, f) == want[f]
@@ -184,3 +186,31 @@ def test_components_go_on_until_they_stand_still(spark, monkeypatch):
     monkeypatch.setattr(c, "ROUNDS", 1, raising=False)
     edges = [(k, k + 1) for k in range(40)]
     assert {r.component for r in c.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {0}
+
+
+def test_parities_show_no_more_than_sets_differ():
+    import weftline.llm.simhash as s
+
+    rng = np.random.default_rng(1)
+    for n, m, both in ((3, 5, 2), (2000, 2300, 1900), (900, 1100, 850), (40_000, 42_000, 39_000)):
+        x = rng.integers(0, 2**63, n + m - both).astype(np.uint64)
+        a, b = np.unique(x[:n]), np.unique(x[n - both :])
+        p, q = s.parity(a), s.parity(b)
+        to = min(len(p), len(q))
+        off = int(np.bitwise_count((s.folded(p, to) ^ s.folded(q, to)).view(np.uint64)).sum())
+        apart = len(np.setxor1d(a, b))
+        assert off <= apart and (apart - off) % 2 == 0 and off > apart / 3
+
+
+def test_met_again(spark, monkeypatch):
+    import weftline.llm.simhash as s
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(400), i) for i in range(500)] + [(1000, i) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(tuple(r) for r in s.met_again(spark.createDataFrame(rows, "k long, node long")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    times = Counter(k for k, _ in rows)
+    assert got == sorted(r for r in rows if times[r[0]] > 1)

@@ -234,8 +234,8 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text") -> Models:
     return models
 
 
-def predicted(docs: DataFrame, models: Models, *, text: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, entropy, accepted)."""
+def predicted(docs: DataFrame, models: Models, *, text: str = "text", evidence: int = EVIDENCE) -> DataFrame:
+    """(doc_id, lang_pred, score, entropy, accepted); evidence: characters that the score takes into account at most."""
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +248,7 @@ def predicted(docs: DataFrame, models: Models, *, text: str = "text") -> DataFra
                     ce, size = m.entropies(texts)
                     best = ce.argmin(1)
                     low = ce[np.arange(len(texts)), best]
-                    odds = np.exp(-(ce - low[:, None]) * np.clip(size, 1, EVIDENCE)[:, None])
+                    odds = np.exp(-(ce - low[:, None]) * np.clip(size, 1, evidence)[:, None])
                     for i in np.flatnonzero(size).tolist():
                         name[lo + i], score[lo + i], entropy[lo + i] = m.languages[best[i]], 1 / odds[i].sum(), low[i]
                         ok[lo + i] = low[i] <= m.limit[best[i]]
@@ -257,16 +257,16 @@ def predicted(docs: DataFrame, models: Models, *, text: str = "text") -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, lang_pred string, score double, entropy double, accepted boolean")
 
 
-def languages(docs: DataFrame) -> DataFrame:
+def languages(docs: DataFrame, *, evidence: int = EVIDENCE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, entropy, accepted) for each row of docs.
 
     Learned from the text and non-null lang of folds other than 2; only texts are read
     for a prediction. score is the share of the chosen language in exp(-cross-entropy *
-    characters, EVIDENCE at most); ties go to the language that sorts first. Null texts
+    characters, ``evidence`` at most); ties go to the language that sorts first. Null texts
     and texts without a letter, and all texts if nothing could be learned, are ``und``
     with score 0 and no entropy. accepted is false where the cross-entropy is above what
-    calibration allows. Repeated and null ids are rows like others; other columns don't
-    matter. The model's size is bounded by the sample's.
+    calibration allows. Repeated and null ids are rows like others; texts of any length
+    count whole, about CHARS characters at a time; other columns don't matter. The model's size is bounded by the sample's.
     """
-    out = predicted(docs, fit(docs))
+    out = predicted(docs, fit(docs), evidence=evidence)
     return out.select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score", "entropy", "accepted")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components, forest
-from weftline.llm.shared import Scratch, cut, mix, prefix_hash, runs, sized, slices, span_hash, tidied
+from weftline.llm.shared import Scratch, cut, mix, named, prefix_hash, runs, sized, slices, span_hash, tidied
 
 #: Fingerprints in a tile, and in the piece of a tile that is compared at once.
 TILE, PIECE = 2048, 256
@@ -138,12 +138,12 @@ def near(a: np.ndarray, b: np.ndarray | None, radius: int) -> np.ndarray:
     return forest(len(both), found) if len(found) else found
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
+def links(distinct: DataFrame, radius: int, *, count: int | None = None) -> DataFrame:
     """(a, b): links between fingerprints, enough of them to connect all that is within the radius.
 
-    distinct: (fp), each once.
+    distinct: (fp), each once; count: how many to lay out for (None: as many as there are).
     """
-    masks = layout(distinct.count(), radius)
+    masks = layout(distinct.count() if count is None else count, radius)
     key = [F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("key")) for i, m in enumerate(masks)]
     banded = distinct.select("fp", F.bit_count("fp").alias("ones"), F.explode(F.array(*key)).alias("k")).select("k.band", "k.key", "fp", "ones")
     sized = banded.groupBy("band", "key", "ones").agg(F.count(F.lit(1)).alias("n"))
@@ -532,12 +532,13 @@ def distinct_documents(docs: DataFrame, *, width: int = 5) -> DataFrame:
     Near-duplicates share four fifths of their distinct shingles or more; groups are what such links connect.
 
     Ties of ids (repeated rows) go to the row that sorts first by its other columns'
-    hash; a null id sorts last, a null text is the empty one.
+    hash; a null id sorts last, a null text is the empty one. Texts of any length count whole;
+    columns may have any names; an empty table gives an empty table.
     """
-    hashable = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
+    hashable = [named(c) for c, t in docs.dtypes if "map" not in t and "variant" not in t]
     tie, text = F.xxhash64(F.lit("tie"), *hashable), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(*(F.col(c).alias(f"c_{c}") for c in docs.columns), text.alias("text"), tie.alias("tie")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
-    slim = own.select("c_doc_id", "tie", "t1", "t2").join(wide_components(own.select("text"), width=width), ["t1", "t2"])
-    least = slim.groupBy("part").agg(F.min(F.struct(F.col("c_doc_id").isNull(), "c_doc_id", "tie", "t1", "t2")).alias("least")).select("least.tie", "least.t1", "least.t2")
-    kept = own.join(least, ["tie", "t1", "t2"], "left_semi")
-    return kept.dropDuplicates(["tie", "t1", "t2"]).select(*(F.col(f"c_{c}").alias(c) for c in docs.columns))
+    own = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.col("doc_id").alias("id"), text.alias("text"), tie.alias("tie")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
+    slim = own.select("id", "tie", "t1", "t2").join(wide_components(own.select("text"), width=width), ["t1", "t2"])
+    least = slim.groupBy("part").agg(F.min(F.struct(F.col("id").isNull(), "id", "tie", "t1", "t2")).alias("least")).select("least.tie", "least.t1", "least.t2")
+    kept = own.select("row", "tie", "t1", "t2").join(least, ["tie", "t1", "t2"], "left_semi")
+    return kept.dropDuplicates(["tie", "t1", "t2"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
