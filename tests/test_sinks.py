@@ -7,7 +7,7 @@ from weftline.functions import literals
 from weftline.operators.engine import Config, generate
 from weftline.plans.q_model import SHOP, shop
 from weftline.sources import sinks
-from weftline.sources.model import Column, Schema, Table
+from weftline.sources.model import Column, ForeignKey, Schema, Table
 
 COLUMNS = (Column("i", "integer"), Column("x", "decimal"), Column("b", "boolean"), Column("t"), Column("j", "json"), Column("d", "date"), Column("at", "timestamp"), Column("raw", "bytea"), Column("arr", "array", element=Column("e")), Column("rec", "composite", fields=(Column("a", "integer"), Column("c"))), Column("gap", "interval"), Column("win", "range", element=Column("w", "integer")))
 
@@ -90,3 +90,32 @@ def test_parquet_publishes_at_the_end(spark, tmp_path):
     assert back.count() == 5 and not (tmp_path / "out" / "t.parquet").exists()
     sink.publish()
     assert spark.read.parquet(str(tmp_path / "out" / "t.parquet")).count() == 5 and [p.name for p in (tmp_path / "out").iterdir()] == ["t.parquet"]
+
+
+def test_jdbc_against_an_embedded_database(spark, tmp_path):
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    people = Table("people", (Column("id", "integer", False), Column("name"), Column("tags", "array", element=Column("e"))), primary=("id",), schema="app")
+    notes = Table("notes", (Column("id", "integer", False), Column("person", "integer")), primary=("id",), foreign=(ForeignKey(("person",), "app.people", ("id",)),), schema="app")
+    schema = Schema({t.key: t for t in (people, notes)})
+    sink = sinks.Jdbc(url, "derby", truncate=True)
+    sink.execute(spark, ['CREATE TABLE "people" ("id" INT PRIMARY KEY, "name" VARCHAR(40), "tags" VARCHAR(200))', 'CREATE TABLE "notes" ("id" INT PRIMARY KEY, "person" INT REFERENCES "people" ("id"))'])
+    frames = {"app.people": spark.createDataFrame([(1, "Ada", ["x", "y"]), (2, "Eve", [])], "id int, name string, tags array<string>"), "app.notes": spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id int, person int")}
+    for _ in range(2):  # the second load empties what the first wrote, children first
+        assert sinks.into(schema, frames, sink) == {"app.people": 2, "app.notes": 3}
+    read = lambda t: sorted(tuple(r) for r in spark.read.format("jdbc").option("url", url).option("dbtable", f'"{t}"').load().collect())
+    assert read("people") == [(1, "Ada", '["x","y"]'), (2, "Eve", "[]")] and read("notes") == [(1, 2), (2, 1), (3, 1)]
+    with pytest.raises(Exception, match="DELETE"):
+        sink.execute(spark, ['INSERT INTO "notes" VALUES (9, 1)', 'DELETE FROM "people"'])
+    assert len(read("notes")) == 3  # rolled back
+
+
+def test_load_script_is_one_transaction(spark):
+    t = Table("t", (Column("id", "integer", False, identity=True), Column("v")), primary=("id",), schema="public")
+    u = Table("u", (Column("t_id", "integer"),), foreign=(ForeignKey(("t_id",), "public.t", ("id",)),), schema="public")
+    frames = {"public.t": spark.createDataFrame([(1, "a\tb"), (2, None)], "id int, v string").coalesce(1), "public.u": spark.createDataFrame([(1,)], "t_id int")}
+    assert list(sinks.load_script(Schema({x.key: x for x in (t, u)}), frames, truncate=True)) == [
+        "\\set ON_ERROR_STOP on", "BEGIN;", 'TRUNCATE "public"."t", "public"."u" RESTART IDENTITY CASCADE;',
+        'COPY "public"."t" ("id", "v") FROM STDIN;', "1\ta\\tb", "2\t\\N", "\\.",
+        'COPY "public"."u" ("t_id") FROM STDIN;', "1", "\\.",
+        "SELECT setval(pg_get_serial_sequence('public.t', 'id'), (SELECT COALESCE(MAX(\"id\"), 1) FROM \"public\".\"t\"), true);", "COMMIT;",
+    ]

@@ -12,7 +12,7 @@ from pathlib import Path
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.literals import copy_line, row
@@ -117,6 +117,30 @@ def cleared(table: Table, dialect: str) -> str:
     return f"TRUNCATE {reference(table, dialect)} RESTART IDENTITY CASCADE;" if dialect == "postgres" else f"DELETE FROM {reference(table, dialect)};"
 
 
+def emptied(tables: list[Table], dialect: str) -> list[str]:
+    """What empties tables that are given parents first: one statement in Postgres, else one a table, children first."""
+    if dialect == "postgres":
+        return [f"TRUNCATE {', '.join(reference(t, dialect) for t in tables)} RESTART IDENTITY CASCADE;"] if tables else []
+    return [f"DELETE FROM {reference(t, dialect)};" for t in reversed(tables)]
+
+
+def load_script(schema: Schema, frames: dict[str, DataFrame], truncate: bool = False) -> Iterator[str]:
+    """The lines of a load for psql in one transaction: COPY of every table, then sequences. Any error rolls all back.
+
+    Rows stream through the driver, a partition at a time, as they make one file.
+    """
+    tables = [schema.tables[k] for k in frames]
+    yield from ["\\set ON_ERROR_STOP on", "BEGIN;", *(emptied(tables, "postgres") if truncate else [])]
+    for t in tables:
+        rows = frames[t.key]
+        yield f"COPY {reference(t, 'postgres')} ({', '.join(quoted(c.name, 'postgres') for c in present(t, rows))}) FROM STDIN;"
+        for r in copy_file(t, rows).toLocalIterator():
+            yield r.value
+        yield "\\."
+    yield from [x for t in tables if (x := sequence_reset(t))]
+    yield "COMMIT;"
+
+
 class Parquet:
     """Tables as Parquet under a folder; publish() moves them there once all are written.
 
@@ -159,17 +183,48 @@ class Parquet:
 
 
 class Jdbc:
-    """A database over JDBC; its driver must be on the class path. Nested values go as text."""
+    """A database over JDBC; its driver must be on the class path. Nested values go as text.
+
+    Tables are written by the executors, several connections a table, so there is no
+    transaction over all; ``load_script`` makes one for Postgres. With truncate the
+    tables are emptied first, children before parents.
+    """
 
     def __init__(self, url: str, dialect: str = "postgres", truncate: bool = False, **properties: str) -> None:
         self.url, self.dialect, self.truncate, self.properties = url, dialect, truncate, properties
 
+    def execute(self, spark: SparkSession, statements: list[str]) -> None:
+        """In one transaction, over one connection of the driver's."""
+        jvm = spark.sparkContext._jvm
+        own = jvm.java.util.Properties()
+        for k, v in self.properties.items():
+            own.setProperty(k, v)
+        connection = jvm.java.sql.DriverManager.getConnection(self.url, own)
+        try:
+            connection.setAutoCommit(False)
+            for text in statements:
+                connection.createStatement().execute(text.rstrip(";"))
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            connection.close()
+
+    def begin(self, spark: SparkSession, tables: list[Table]) -> None:
+        if self.truncate:
+            self.execute(spark, emptied(tables, self.dialect))
+
+    def finish(self, spark: SparkSession, tables: list[Table]) -> None:
+        resets = [x for t in tables if (x := sequence_reset(t))] if self.dialect == "postgres" else []
+        if resets:
+            self.execute(spark, resets)
+
     def write(self, table: Table, rows: DataFrame) -> int:
         seen = Observation()
         flat = rows.observe(seen, F.count(F.lit(1)).alias("n")).select(*(F.to_json(c.name).alias(c.name) if c.kind in ("array", "composite", "range") else F.col(c.name) for c in present(table, rows)))
-        name = f"{table.schema}.{table.name}" if self.dialect == "postgres" else table.name
-        writer = flat.write.format("jdbc").option("url", self.url).option("dbtable", name).option("batchsize", 10_000).options(**self.properties)
-        writer.option("truncate", "true").mode("overwrite" if self.truncate else "append").save()
+        writer = flat.write.format("jdbc").option("url", self.url).option("dbtable", reference(table, self.dialect)).option("batchsize", 10_000).options(**self.properties)
+        writer.mode("append").save()
         return seen.get["n"]
 
 
@@ -229,7 +284,14 @@ def bound(c: Column):
 
 def into(schema: Schema, frames: dict[str, DataFrame], sink: Sink) -> dict[str, int]:
     """Write every table, parents first as they come, and count the rows as they pass."""
-    return {key: sink.write(schema.tables[key], rows) for key, rows in frames.items()}
+    tables = [schema.tables[k] for k in frames]
+    spark = next((df.sparkSession for df in frames.values()), None)
+    for step in ("begin", "write", "finish"):
+        if step == "write":
+            counts = {key: sink.write(schema.tables[key], rows) for key, rows in frames.items()}
+        elif spark is not None and hasattr(sink, step):
+            getattr(sink, step)(spark, tables)
+    return counts
 
 
 def save_script(lines: Iterator[str], file: str) -> None:
