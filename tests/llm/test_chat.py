@@ -40,3 +40,19 @@ def test_snapshots_collapse(spark, monkeypatch):
 
 def test_empty(spark):
     assert chat.chat(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_turn_number_for_all_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 16)
+    rows = [(1, 5, "user", f"t{i:03d}", "p") for i in range(100)] + [(2, None, "user", f"t{i:03d}", "p") for i in range(60)] + [(3, 1, "user", "x" * 3_000_000, "p"), (4, 1, "user", "x" * 3_000_000 + "y", "p")]
+    got = {}
+    for r in chat.chat(spark.createDataFrame(rows, SCHEMA)).orderBy("segment").collect():
+        n, text = got.get(r.conv_id, (0, ""))
+        got[r.conv_id] = (r.n_turns, text + r.rendered)
+    assert got == brute(rows) and set(got) == {1, 3, 4}
+
+
+def test_many_logs_with_one_beginning(spark):
+    rows = [(c, t, "user", "hello" if t < 2 else f"{c}.{t}", "p") for c in range(200) for t in range(2 + c % 3)]
+    got = {r.conv_id: (r.n_turns, r.rendered) for r in chat.chat(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)

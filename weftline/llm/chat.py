@@ -45,7 +45,7 @@ def placed(turns: DataFrame) -> DataFrame:
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """placed turns (conv, place, segment, h1, h2) with the rolling hashes p1 and p2 up to each."""
+    """placed turns (conv, place, segment, h1, h2) with the halves of the rolling hashes up to each: pa1, pb1, pa2, pb2."""
     for i in (1, 2):
         h = F.col(f"h{i}")
         turns = turns.withColumn(f"a{i}", F.shiftright(h, 31)).withColumn(f"b{i}", h.bitwiseAND((1 << 31) - 1))
@@ -56,7 +56,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     within = Window.partitionBy("conv", "segment").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     joined = turns.join(lead, F.col("conv").eqNullSafe(F.col("c_")) & (F.col("segment") == F.col("s_")))
     total = {x: F.sum(x).over(within) + F.col(f"l{x}") for x in halves}
-    return joined.select("conv", "place", *(F.concat_ws(".", total[f"a{i}"], total[f"b{i}"]).alias(f"p{i}") for i in (1, 2)))
+    return joined.select("conv", "place", *(total[x].alias(f"p{x}") for x in halves))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -64,11 +64,13 @@ def maximal(turns: DataFrame) -> DataFrame:
     hashed = turns.select("conv", "place", "segment", hash_of(1, F.col("place").cast("string"), F.col("role"), F.col("text")).alias("h1"), hash_of(2, F.col("text"), F.col("role"), F.col("place").cast("string")).alias("h2"))
     rolling = cut(prefixes(hashed))
     length = rolling.groupBy("conv").agg(F.max("place").alias("n"))
-    ends = rolling.join(length.select(F.col("conv").alias("c_"), "n"), F.col("conv").eqNullSafe(F.col("c_")) & (F.col("place") == F.col("n"))).select("conv", "n", "p1", "p2")
+    upto = ["pa1", "pb1", "pa2", "pb2"]
+    sized = rolling.join(length.select(F.col("conv").alias("c_"), "n"), F.col("conv").eqNullSafe(F.col("c_")))
     # one of equal conversations; null is the smallest id
-    first = ends.groupBy("n", "p1", "p2").agg(F.min(F.struct("conv")).alias("one")).select("one.conv", "n", "p1", "p2")
-    inner = rolling.join(length.select(F.col("conv").alias("c_"), "n"), F.col("conv").eqNullSafe(F.col("c_")) & (F.col("place") < F.col("n"))).select(F.col("place").alias("n"), "p1", "p2")
-    return first.join(inner, ["n", "p1", "p2"], "left_anti").select("conv", "n")
+    first = sized.where("place = n").groupBy("n", *upto).agg(F.min(F.struct("conv")).alias("one")).select("one.conv", "n", *upto)
+    # a first turn that many logs share is one row in each task, and one in all
+    inner = sized.where("place < n").select(F.col("place").alias("n"), *upto).distinct()
+    return first.join(inner, ["n", *upto], "left_anti").select("conv", "n")
 
 
 def chat(turns: DataFrame) -> DataFrame:
@@ -78,7 +80,9 @@ def chat(turns: DataFrame) -> DataFrame:
     render as empty strings but differ from them in comparisons. Turns are ordered by
     number, then role and text; equal rows are turns of their own. Rows with a null
     conv_id are one conversation. An empty table gives an empty table. n_turns is the
-    length of the whole conversation.
+    length of the whole conversation. Texts of any length are rendered whole. Conversations
+    of any length are handled SEGMENT turns at a time; turns whose numbers lie within
+    one range of SEGMENT, or are null, are sorted in one task, which spills.
     """
     rows = placed(turns.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))
     kept = maximal(rows).select(F.col("conv").alias("c_"), "n")
