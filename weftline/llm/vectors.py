@@ -10,7 +10,8 @@ in tiles of TILE rows, so a large cell is many tasks.
 Equal vectors become one with a count before anything is compared, and a tile gives
 counts of links and a spanning forest, never all pairs of a group. On data without
 clusters in many dimensions the rings rule out little and every vector is a guest in
-about half of the cells; the work is then that of comparing all pairs once.
+about half of the cells; the work is then that of comparing all pairs once. Distances to
+pivots are worked out again in each of three passes rather than kept.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from weftline.llm.shared import cut, sample_rows, tidied
 from weftline.llm.simhash import with_last
 
 TILE, PIECE = 4096, 512
-#: Rows from which pivots are chosen; distinct vectors for each pivot, and the most pivots.
-SAMPLE, PER_PIVOT, PIVOTS = 2048, 4096, 256
-#: Single-precision products within this of the threshold are worked out again in double precision.
-CLOSE = 1e-4
+#: Rows from which pivots are chosen, for each pivot and at least, and their bytes at most; distinct vectors for each pivot, and the most pivots.
+EACH, SAMPLE, SAMPLE_BYTES, PER_PIVOT, PIVOTS = 4, 2048, 1 << 26, 4096, 1024
+#: Distances worked out at a time.
+AT_ONCE = 1 << 20
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -59,27 +60,51 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
 
-def guests(d: np.ndarray, home: np.ndarray, pivots: np.ndarray, rings: np.ndarray, r: float) -> np.ndarray:
-    """Whether row i might have a partner whose home is the lower cell c."""
+def close(d: int) -> float:
+    """Single-precision products of unit rows of d numbers are wrong by less; what is so near the threshold is worked out in double precision."""
+    return max(1e-4, d * 2.0**-22)
+
+
+def homes_of(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest pivot, distance to it) of unit rows."""
+    home, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    step = max(1, AT_ONCE // len(pivots))
+    for lo in range(0, len(x), step):
+        d = distances(x[lo : lo + step], pivots)
+        home[lo : lo + step] = d.argmin(1)
+        far[lo : lo + step] = d.min(1)
+    return home, far
+
+
+def guests(x: np.ndarray, home: np.ndarray, pivots: np.ndarray, rings: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell): the row might have a partner whose home is this cell, lower than its own."""
     slack = r + 1e-7
-    dh = d[np.arange(len(d)), home][:, None]
-    between = distances(pivots, pivots)[home]
-    lower = np.arange(len(pivots))[None, :] < home[:, None]
-    in_ring = (d <= rings[:, 1] + slack) & (d >= rings[:, 0] - slack)
-    return lower & in_ring & (d - dh <= 2 * slack) & (d * d - dh * dh <= 2 * slack * between + 1e-7)
+    apart = distances(pivots, pivots)
+    rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, AT_ONCE // len(pivots))
+    for lo in range(0, len(x), step):
+        d, own = distances(x[lo : lo + step], pivots), home[lo : lo + step]
+        dh = d[np.arange(len(d)), own][:, None]
+        lower = np.arange(len(pivots))[None, :] < own[:, None]
+        in_ring = (d <= rings[:, 1] + slack) & (d >= rings[:, 0] - slack)
+        row, cell = np.nonzero(lower & in_ring & (d - dh <= 2 * slack) & (d * d - dh * dh <= 2 * slack * apart[own] + 1e-7))
+        rows.append(row + lo)
+        cells.append(cell)
+    return np.concatenate(rows), np.concatenate(cells)
 
 
 def compare(a: np.ndarray, b: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs with cosine >= least between unit rows: within a (each pair once), or from a to b."""
     other = a if b is None else b
     a32, b32 = a.astype(np.float32), other.astype(np.float32)
+    slack = close(a.shape[1])
     for lo in range(0, len(a), PIECE):
         base = lo if b is None else 0
         s = a32[lo : lo + PIECE] @ b32[base:].T
-        p, q = np.nonzero(s >= least - CLOSE)
+        p, q = np.nonzero(s >= least - slack)
         value = s[p, q]
         p, q = p + lo, q + base
-        sure = value >= least + CLOSE
+        sure = value >= least + slack
         doubt = np.flatnonzero(~sure)
         for k in range(0, len(doubt), 65536):
             d = doubt[k : k + 65536]
@@ -90,12 +115,12 @@ def compare(a: np.ndarray, b: np.ndarray | None, least: float) -> Iterator[tuple
             yield p[sure], q[sure]
 
 
-def range_join(nodes: DataFrame, least: float) -> DataFrame:
+def range_join(nodes: DataFrame, length: int, least: float) -> DataFrame:
     """(kind, a, b) for nodes (node, m, vec) of one length: kind 0: b more linked rows of node a; kind 1: a link."""
     r = float(np.sqrt(max(0.0, 2 - 2 * least)))
     n = nodes.count()
     k = max(1, min(PIVOTS, -(-n // PER_PIVOT)))
-    some = sample_rows(nodes.select("node", "vec"), SAMPLE, "node").select("vec").toArrow().column("vec").combine_chunks()
+    some = sample_rows(nodes.select("node", "vec"), min(max(SAMPLE, EACH * k), max(1, SAMPLE_BYTES // (8 * length))), "node").select("vec").toArrow().column("vec").combine_chunks()
     pivots = choose(unit(matrix(some)), k) if len(some) else np.zeros((0, 1))
     if not len(pivots):  # the sample missed what little there is
         first = nodes.select("vec").limit(1).toArrow().column("vec").combine_chunks()
@@ -105,9 +130,8 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = distances(unit(matrix(batch.column(0))), pivots)
-                home = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(d[np.arange(len(d)), home])], ["cell", "d"])
+                home, far = homes_of(unit(matrix(batch.column(0))), pivots)
+                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(far)], ["cell", "d"])
 
     rings, sizes = np.full((k, 2), [np.inf, -np.inf]), np.zeros((k, 2), np.int64)
     for c, count, lo, hi in nodes.select("vec").mapInArrow(tidied(homes), "cell long, d double").groupBy("cell").agg(F.count(F.lit(1)), F.min("d"), F.max("d")).collect():
@@ -116,8 +140,8 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = distances(unit(matrix(batch.column(0))), pivots)
-                each = guests(d, d.argmin(1), pivots, rings, r).sum(0)
+                x = unit(matrix(batch.column(0)))
+                each = np.bincount(guests(x, homes_of(x, pivots)[0], pivots, rings, r)[1], minlength=k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(each)), pa.array(each[each > 0])], ["cell", "n"])
 
     for c, count in nodes.select("vec").mapInArrow(tidied(visits), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
@@ -130,8 +154,8 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy()
-            d = distances(unit(matrix(batch.column(2))), pivots)
-            home = d.argmin(1)
+            x = unit(matrix(batch.column(2)))
+            home, _ = homes_of(x, pivots)
             part = (node * 0x9E3779B97F4A7C15 % (1 << 61)) if node.dtype == object else (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
             who, cell, i, j, side = [], [], [], [], []
 
@@ -151,7 +175,7 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
                     put(rows, np.full(len(rows), c), low, high, 0)
                     if t < th:  # against another home tile the higher one is on the right
                         side[-1][own > t] = 1
-            row, c = np.nonzero(guests(d, home, pivots, rings, r))
+            row, c = guests(x, home, pivots, rings, r)
             own = (part[row] % np.maximum(tiles[c, 1], 1).astype(np.uint64)).astype(np.int64) + tiles[c, 0]
             for t in range(int(tiles[:, 0].max())):
                 yes = tiles[c, 0] > t
@@ -166,6 +190,12 @@ def range_join(nodes: DataFrame, least: float) -> DataFrame:
     kind = dict(nodes.dtypes)["vec"]
     dealt = nodes.select("node", "m", "vec").mapInArrow(tidied(deal), f"unit long, side long, node long, m long, vec {kind}").repartition("unit").sortWithinPartitions("unit", "side")
 
+    return linked(dealt, least)
+
+
+def linked(dealt: DataFrame, least: float) -> DataFrame:
+    """(kind, a, b) from units (unit, side, node, m, vec), each unit's rows together and side 0 first."""
+
     def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
         side, node, m = (t.column(c).to_numpy() for c in ("side", "node", "m"))
@@ -217,12 +247,12 @@ def vector_components(rows: DataFrame, *, least: float = 0.9, key: str = "vec_id
     v = v.withColumn("t1", F.xxhash64("vec")).withColumn("t2", F.xxhash64(F.lit("vec"), "vec"))
     # equal vectors are one node; the checkpoint fixes the nodes' numbers
     nodes = cut(v.where("ok").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("rep"), F.first("vec").alias("vec")).withColumn("node", F.monotonically_increasing_id()))
-    found = None
-    for (length,) in nodes.select(F.size("vec").alias("d")).distinct().collect():
-        part = range_join(nodes.where(F.size("vec") == length), least)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    sizes = nodes.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    # lengths of which there are no more vectors than a tile holds are a tile each
+    few = nodes.join(sizes.where(F.col("n") <= TILE), F.size("vec") == F.col("d"))
+    found = linked(few.select(F.col("d").cast("long").alias("unit"), F.lit(0).cast("long").alias("side"), "node", "m", "vec").withColumn("unit", F.shiftleft("unit", 40)).repartition("unit").sortWithinPartitions("unit"), least)
+    for length, _ in sizes.where(F.col("n") > TILE).orderBy("d").collect():
+        found = found.union(range_join(nodes.where(F.size("vec") == length), length, least))
     found = cut(found)
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     parts = components(found.where("kind = 1").select("a", "b")).withColumnsRenamed({"id": "node", "component": "part"})
