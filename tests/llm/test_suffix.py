@@ -53,16 +53,48 @@ def test_one_text_that_repeats_itself(spark, text):
     assert [tuple(r)[1:] for r in digests(df).collect()] == brute([text], 200)
 
 
-def test_hot_anchor_by_windows(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 1, 6])
+def test_hot_anchors(spark, monkeypatch, hot):
     import weftline.llm.suffix as s
 
-    monkeypatch.setattr(s, "HOT", 1)
+    # 0: all windows are counted one by one, after second anchors; 1 and 6: some of each
+    monkeypatch.setattr(s, "HOT", hot)
     texts = planted(3, 60)
+    rng = random.Random(4)
+    common = "".join(rng.choices("abcdefg", k=150))
+    texts += ["".join(rng.choices("uvwxyz", k=rng.randrange(90))) + common + "".join(rng.choices("uvwxyz", k=rng.randrange(90))) for _ in range(30)]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: tuple(r)[1:] for r in digests(df, length=60).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 60)
 
 
+def test_texts_longer_than_two_pieces(spark):
+    from weftline.llm.suffix import PIECE
+
+    rng = np.random.default_rng(8)
+    long = rng.integers(97, 123, 2 * PIECE + 5000).astype(np.uint8)
+    passage = rng.integers(97, 123, 300).astype(np.uint8)
+    long[PIECE - 100 : PIECE + 200] = passage  # over the border of two pieces
+    short = np.concatenate([rng.integers(97, 123, 50).astype(np.uint8), passage])
+    df = spark.createDataFrame([(1, long.tobytes().decode(), 1, "x"), (2, short.tobytes().decode(), 1, "x")], SCHEMA)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in digests(df).collect()}
+    left = np.delete(long, np.arange(PIECE - 100, PIECE + 200)).tobytes()
+    assert got == {1: (len(long), 300, 1, hashlib.sha256(left).hexdigest()), 2: (350, 300, 1, hashlib.sha256(short[:50].tobytes()).hexdigest())}
+
+
+def test_pieces_hold_every_window_once():
+    import pyarrow as pa
+
+    import weftline.llm.suffix as s
+
+    text = "".join(random.Random(1).choices("abcdef", k=3 * s.PIECE + 77))
+    seen = np.zeros(len(text), int)
+    for lo, off, data, at in s.pieces(pa.array([text]), 200):
+        assert lo == 0 and bytes(data) == text.encode()[off : off + len(data)] and at.tolist() == [0, len(data)]
+        seen[off : off + len(data) - 199] += 1
+    assert (seen[:-199] == 1).all() and not seen[-199:].any()
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = "".join(random.Random(5).choices("abcdefgh", k=260))
     df = spark.createDataFrame([(1, t, 1, "x")] * 3 + [(None, t, 1, "x"), (2, None, None, None)], SCHEMA)

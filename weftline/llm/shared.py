@@ -58,16 +58,29 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
+#: Rows of an Arrow batch, and as many whole texts as one should hold.
+BATCH, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
+
 class Scratch:
     """Intermediate tables as compressed Parquet under the shared folder, ``weftline-*``."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
-    def written(self, df: DataFrame) -> DataFrame:
-        """As cut(), for large tables; the files stay until emptied()."""
+    def written(self, df: DataFrame, *, rows: int | None = None) -> DataFrame:
+        """As cut(), for large tables; the files stay until emptied().
+
+        rows: how many whole texts, say, go to a Python worker at once, if fewer than usual.
+        """
         self.paths.append(f"{shared_folder(self.spark).rstrip('/')}/weftline-{uuid.uuid4().hex}")
-        df.write.parquet(self.paths[-1])
+        usual = self.spark.conf.get(BATCH)
+        try:
+            if rows is not None and rows < int(usual):
+                self.spark.conf.set(BATCH, str(rows))
+            df.write.parquet(self.paths[-1])
+        finally:
+            self.spark.conf.set(BATCH, usual)
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def emptied(self) -> None:
