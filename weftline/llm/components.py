@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from weftline.llm.shared import cut
 
+#: Links in a checkpoint's file, about, and files at least: a small graph in hundreds of files costs more than its rounds.
+LINKS, FILES = 50_000, 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
@@ -33,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = now.join(low, now["v"] == low["w"]).select("u", F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
         small = large.join(least, large["u"] == least["w"]).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v")
-        now = cut(small.distinct())
+        now = cut(small.distinct().coalesce(max(FILES, mark[0] // LINKS)))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
