@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components, forest
-from weftline.llm.shared import Scratch, cut, mix, named, prefix_hash, runs, sized, slices, span_hash, tidied
+from weftline.llm.shared import TEXTS, Scratch, cut, mix, named, prefix_hash, runs, sized, slices, span_hash, tidied
 
 #: Fingerprints in a tile, and in the piece of a tile that is compared at once.
 TILE, PIECE = 2048, 256
@@ -245,6 +245,8 @@ WIDE, STEP = 32, 8
 WIDE_TILE, WIDE_PIECE = 4096, 512
 #: Bands, and least shingle hashes in one. They only bring most links early; none is lost without them.
 BANDS, LEAST = 14, 5
+#: Times that the parts found so far are checked against each other by bands, before prefixes.
+TURNS = 2
 #: Odd multipliers, one for each order in which shingle hashes are least.
 ORDERS = mix(np.arange(1, BANDS * LEAST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Shingles a task counts at once, the share of its texts that makes one common, and common ones that are broadcast at most.
@@ -482,8 +484,8 @@ def wide_components(docs: DataFrame, *, width: int = 5) -> DataFrame:
     t1 and t2 are xxhash64(text) and xxhash64('text', text). Two texts are linked if their
     sets of distinct shingles share SHARE; equal sets are one node, and texts without a word
     are one group. First each node is checked against one other of each band it is in
-    (LEAST least shingle hashes in an order of their own), which finds most groups from few
-    pairs. Then nodes of different groups meet by prefixes: with all shingles in one order,
+    (LEAST least shingle hashes in an order of their own), then one node of each part that has come
+    about, which finds most groups from few pairs. Then nodes of different groups meet by prefixes: with all shingles in one order,
     rare ones first, two sets that share SHARE have one in common among the first
     prefix_size() of each, so no pair is missed. Of those that meet, sizes and parities
     leave out only what can't be similar, and the shingles decide. Shingles and sets are
@@ -493,15 +495,22 @@ def wide_components(docs: DataFrame, *, width: int = 5) -> DataFrame:
     words = [f"f{k}" for k in range(WIDE)]
     texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit("text"), "text"))
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.written(sketches(texts, width).withColumn("row", F.monotonically_increasing_id()))
+    prints = scratch.written(sketches(texts, width).withColumn("row", F.monotonically_increasing_id()), rows=TEXTS)
     named = scratch.written(prints.groupBy("s1", "s2", "n").agg(F.min("row").alias("node")))
     nodes = prints.join(named.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("k"))
-    # one order of nodes for all bands, so that a group has few centres
-    centres = banded.groupBy("k").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", F.col("c.node").alias("c"))
-    stars = cut(banded.join(centres, "k").where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
-    early = scratch.written(similar(cut(possible(stars, nodes)), nodes, texts, width))
-    found = components(early).withColumnsRenamed({"id": "node", "component": "part"})
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "band", F.xxhash64("band", "key").alias("k"))
+    early, reps = None, banded.withColumn("part", F.col("node"))
+    for turn in range(TURNS):
+        # each band has an order of nodes of its own: a group has a centre for each band, so that one that is like few others doesn't matter
+        order = F.struct(F.xxhash64(F.lit(turn), "band", "node"), "node")
+        if early is not None:  # one node for each part that has come about so far
+            joined = banded.join(found, "node", "left").withColumn("part", F.coalesce("part", "node"))
+            reps = joined.groupBy("band", "k", "part").agg(F.min(order).alias("r")).select("band", "k", "part", F.col("r.node").alias("node"))
+        centres = reps.groupBy("band", "k").agg(F.min(order).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("k", F.col("c.node").alias("c"))
+        stars = cut(reps.join(centres, "k").where("node != c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
+        new = scratch.written(similar(cut(possible(stars, nodes)), nodes, texts, width))
+        early = new if early is None else early.union(new)
+        found = components(early).withColumnsRenamed({"id": "node", "component": "part"})
     narrow = F.expr(f"transform(sequence(0, {WIDE - 1}), w -> aggregate(sequence(w, size(parity) - 1, {WIDE}), 0L, (x, j) -> x ^ parity[j]))")
     parts = cut(nodes.select("node", "n", narrow.alias("f")).join(found, "node", "left").select("node", "n", F.coalesce("part", "node").alias("part"), *(F.col("f")[k].alias(w) for k, w in enumerate(words))))
     each = nodes.select("node", F.explode(F.arrays_zip("firsts", "often")).alias("x")).select(F.col("x.firsts").alias("k"), "node", F.col("x.often").alias("often"))
