@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.bpe import bpe
-from weftline.llm.mixing import interleaved, mixed
+from weftline.llm.mixing import KEYS, interleaved, places, with_places
 from weftline.llm.quality import good
 from weftline.llm.shared import shared_folder, table
 from weftline.llm.simhash import distinct_documents
@@ -38,16 +38,18 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which the sources' blocks interleave."""
+    """All documents, in the order in which the sources' blocks interleave; their places are noted for what follows."""
     return interleaved(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text, with its mix_slot and mix_position.
+    """Token counts and digests of every text, with the mix_slot and mix_position that the mixing gave it.
 
-    Files don't keep the order of rows, so the place in the mixing, a function of the rows, is a column.
+    Files don't keep the order of rows, so the place in the mixing is a column. Documents that no mixing has placed are mixed here.
     """
-    return bpe(mixed(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=("mix_slot", "mix_position"))
+    keys, found = places(docs)
+    out = bpe(docs.select("doc_id", "text", *keys), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=KEYS)
+    return with_places(out, found)
 
 
 STAGES = [("quality", quality), ("near copies", near_copies), ("repeats", repeats), ("mixing", mixing), ("tokens", tokens)]

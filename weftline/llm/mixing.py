@@ -21,10 +21,14 @@ still in proportion to their weights, and nothing is dropped or repeated.
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import cut, named
+from weftline.llm.shared import Scratch, cut, named
 
 #: Sources scheduled together, about; groups of light sources have half as many on average.
 FAN = 64
@@ -36,6 +40,10 @@ SENT = 1 << 16, 1 << 22
 CHUNK = 256
 #: What is added to each row.
 COLUMNS = ["mix_block", "mix_release", "mix_due", "mix_slot", "mix_position"]
+#: By what a row is found again in the table of places.
+KEYS = ("mix_digest", "mix_tie")
+#: The metadata of a column under which a mixed table, and its Parquet files, name their table of places.
+MARK = "weftline_mixing"
 
 
 def wishes(counts: DataFrame, target: dict[str, int] | None) -> DataFrame:
@@ -95,12 +103,21 @@ def sized(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if n <= SENT[0] and slots <= SENT[1] else plan
 
 
+def hashable(docs: DataFrame) -> list[str]:
+    return [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
+
+
+def digests(columns: list[str], key: str, source: str) -> list[Column]:
+    """What orders the rows of a source: the md5 of columns as text, and a hash of them as they are."""
+    texts = [named(c).cast("string") for c in [key, source, *(c for c in columns if c not in (key, source))] if c in columns]
+    return [F.md5(F.concat_ws("|", *texts)), F.xxhash64(*map(named, columns))]
+
+
 def placed(docs: DataFrame, carry: list[str], target: dict[str, int] | None, quantum: int, block: int, key: str, source: str) -> DataFrame:
-    """(row, and COLUMNS) for each row of docs; row is a struct of the columns to carry."""
+    """(row, KEYS, nth, and COLUMNS) for each row of docs; row is a struct of the columns to carry, nth counts equal rows."""
     src = F.when(named(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), named(source).cast("string")))
-    hashable = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
-    texts = [named(c).cast("string") for c in [key, source, *(c for c in hashable if c not in (key, source))] if c in hashable]
-    rows = docs.select(F.struct(*map(named, carry)).alias("row"), src.alias("src"), F.md5(F.concat_ws("|", *texts)).alias("h"), F.xxhash64(*map(named, hashable)).alias("tie")).withColumn("sub", F.substring("h", 1, 3))
+    digest, tie = digests(hashable(docs), key, source)
+    rows = docs.select(F.struct(*map(named, carry)).alias("row"), src.alias("src"), digest.alias("h"), tie.alias("tie")).withColumn("sub", F.substring("h", 1, 3))
     groups = cut(rows.groupBy("src", "sub").agg(F.count(F.lit(1)).alias("n")))
     lead = groups.withColumn("lead", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
     # the part of a block that one group of rows holds; its slot, and the rows ahead of it
@@ -121,7 +138,8 @@ def placed(docs: DataFrame, carry: list[str], target: dict[str, int] | None, qua
     nth = F.row_number().over(Window.partitionBy("src", "sub").orderBy("h", "tie"))
     out = rows.withColumn("nth", nth).join(known, ["src", "sub"]).withColumn("k", F.col("lead") + F.col("nth") - 1)
     out = out.withColumn("own", F.expr(f"blocks[cast(k div {block} - lead div {block} as int)]"))
-    return out.select("row", F.col("own.b").alias("mix_block"), F.col("own.release").alias("mix_release"), F.col("own.due").alias("mix_due"), F.col("own.slot").alias("mix_slot"), F.expr(f"own.ahead + k - greatest(lead, own.b * {block}) + 1").alias("mix_position"))
+    equal = F.row_number().over(Window.partitionBy("src", "sub", "h", "tie").orderBy("nth"))
+    return out.select("row", F.col("h").alias(KEYS[0]), F.col("tie").alias(KEYS[1]), equal.alias("nth"), F.col("own.b").alias("mix_block"), F.col("own.release").alias("mix_release"), F.col("own.due").alias("mix_due"), F.col("own.slot").alias("mix_slot"), F.expr(f"own.ahead + k - greatest(lead, own.b * {block}) + 1").alias("mix_position"))
 
 
 def mixed(docs: DataFrame, *, target: dict[str, int] | None = None, quantum: int = 1000, block: int = 16, key: str = "doc_id", source: str = "source", carry: list[str] | None = None) -> DataFrame:
@@ -146,7 +164,55 @@ def mixed(docs: DataFrame, *, target: dict[str, int] | None = None, quantum: int
     return out.select(*own, *COLUMNS)
 
 
+def marked(docs: DataFrame) -> dict[str, Any] | None:
+    """What the mixing that docs come from has noted of itself; None if there was none."""
+    return next((json.loads(f.metadata[MARK]) for f in docs.schema if MARK in f.metadata), None)
+
+
 def interleaved(docs: DataFrame, *, target: dict[str, int] | None = None, quantum: int = 1000, block: int = 16, key: str = "doc_id", source: str = "source") -> DataFrame:
-    """docs, its own columns only and unchanged, sorted by the position that mixed() gives."""
-    out = placed(docs, docs.columns, target, quantum, block, key, source).orderBy("mix_position")
-    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    """docs, its own columns only and unchanged, sorted by the position that mixed() gives.
+
+    Files don't keep the order of rows. So the places are written to a table too, digests, slot and position
+    of each row, which stays in the shared folder. The metadata of column ``key`` (or else the first) names it,
+    and goes with the rows into Parquet and back; places() reads it.
+    """
+    out = placed(docs, docs.columns, target, quantum, block, key, source)
+    scratch = Scratch(docs.sparkSession)
+    scratch.written(out.select(*KEYS, "nth", "mix_slot", "mix_position"))
+    settings = {"target": target and {str(k): int(v) for k, v in target.items()}, "quantum": quantum, "block": block, "key": key, "source": source}
+    about = {f.name: dict(f.metadata) for f in docs.schema}
+    about[key if key in about else docs.columns[0]][MARK] = json.dumps({"path": scratch.paths[0], "columns": hashable(docs), "settings": settings})
+    return out.orderBy("mix_position").select(*(F.col("row")[c].alias(c, metadata=about[c]) for c in docs.columns))
+
+
+def keyed(note: dict[str, Any]) -> list[Column]:
+    return [c.alias(k) for c, k in zip(digests(note["columns"], note["settings"]["key"], note["settings"]["source"]), KEYS, strict=True)]
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """rows, which have KEYS, with nth; rows with the same KEYS are interchangeable."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy(*KEYS)))
+
+
+def places(docs: DataFrame) -> tuple[list[Column], DataFrame]:
+    """Columns of docs to find a row by, and the places (KEYS, nth, mix_slot, mix_position) in the mixing that docs come from.
+
+    docs may be some of the mixed rows, in any order. If a row has no place there, or the table is gone, docs
+    are mixed anew by the settings of that mixing; by the usual ones if docs come from none.
+    """
+    note = marked(docs)
+    if note and {*note["columns"]} <= {*docs.columns}:
+        try:
+            found = docs.sparkSession.read.parquet(note["path"])
+        except AnalysisException:
+            found = None
+        if found is not None and counted(docs.select(*keyed(note))).join(found, [*KEYS, "nth"], "left_anti").isEmpty():
+            return keyed(note), found
+    note = marked(interleaved(docs, **(note["settings"] if note else {})))
+    return keyed(note), docs.sparkSession.read.parquet(note["path"])
+
+
+def with_places(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with mix_slot and mix_position instead of KEYS, from the places found."""
+    own = [c for c in rows.columns if c not in KEYS]
+    return counted(rows).join(found, [*KEYS, "nth"], "left").select(*map(named, own), "mix_slot", "mix_position")
