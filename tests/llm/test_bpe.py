@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -100,3 +101,21 @@ def test_operator(spark, library):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN).collect() == []
+
+
+def test_workers_forget_after_a_task(spark):
+    """What a worker remembered would add to the memory of whatever it does next."""
+
+    def left(batches):
+        from weftline.llm import bpe as module
+
+        list(batches)
+        used = module.encoder.cache_info().currsize
+        yield pa.RecordBatch.from_pydict({"used": [used], "kept": [len(module.encoder(PATH, P.PATTERN).kept)]})
+
+    rows = [(i, f"a{i}b zq{i}x unheardof{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert bpe(docs, PATH, P.PATTERN).agg({"n_tokens": "sum"}).first()[0]
+    found = spark.range(0, 400, 1, 4).mapInArrow(left, "used long, kept long").collect()
+    assert any(r.used for r in found)  # a worker that has encoded
+    assert {r.kept for r in found} == {0}

@@ -7,7 +7,7 @@ that an earlier merge has made stale are skipped. Each pre-token with entries in
 lowest rank there, which is its lowest of all, and merges from left to right; its other
 entries go back to the bucket, and the pairs that have come up go to theirs. All that is done
 for all these pre-tokens at once, in numpy. Every pre-token that is no token itself, of any
-length, goes through the queue, once for as long as a worker remembers its ids.
+length, goes through the queue, once for as long as a task remembers its ids.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from weftline.llm.shared import tidied
 
-#: Once more than so many distinct pre-tokens are remembered, a worker forgets them all before its next batch.
+#: Once more than so many distinct pre-tokens are remembered, a task forgets them all before its next batch.
 KEPT = 400_000
 #: Pre-tokens of more bytes than this aren't remembered.
 SHORT = 40
@@ -34,7 +34,7 @@ SHORT = 40
 BLOCK = 256
 NONE = np.int32(2**31 - 1)
 #: Texts split, merged and digested at a time: so many rows, or fewer of about so many characters.
-ROWS, CHARS = 2048, 4_000_000
+ROWS, CHARS = 512, 1_000_000
 
 #: Texts of these characters alone are split by the faster standard library, with the classes spelled out.
 PLAIN = re.compile("[^\x00-\u024f\u2010-\u2027\u20ac]").search
@@ -245,14 +245,17 @@ def bpe(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for batch in batches:
-            lo = 0
-            while lo < batch.num_rows:
-                n = pc.fill_null(pc.utf8_length(batch.column(1).slice(lo, ROWS)), 0).to_numpy(zero_copy_only=False)
-                rows = batch.slice(lo, max(1, int(np.searchsorted(np.cumsum(n), CHARS, "right"))))
-                lo += rows.num_rows
-                found = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(e.decode(p)).hexdigest(), *([np.frombuffer(p, "<u4").astype(np.int32)] * ids)) for p in e.packed(rows.column(1).to_pylist())]
-                out = [rows.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types[1:], strict=True)), *rows.columns[2:]]
-                yield pa.RecordBatch.from_arrays(out, names)
+        try:
+            for batch in batches:
+                lo = 0
+                while lo < batch.num_rows:
+                    n = pc.fill_null(pc.utf8_length(batch.column(1).slice(lo, ROWS)), 0).to_numpy(zero_copy_only=False)
+                    rows = batch.slice(lo, max(1, int(np.searchsorted(np.cumsum(n), CHARS, "right"))))
+                    lo += rows.num_rows
+                    found = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(e.decode(p)).hexdigest(), *([np.frombuffer(p, "<u4").astype(np.int32)] * ids)) for p in e.packed(rows.column(1).to_pylist())]
+                    out = [rows.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types[1:], strict=True)), *rows.columns[2:]]
+                    yield pa.RecordBatch.from_arrays(out, names)
+        finally:
+            e.kept.clear()  # the worker lives on, in other stages too
 
     return docs.select(docs["doc_id"].cast("long"), docs[text].cast("string"), *(docs[c] for c in keep)).mapInArrow(tidied(run), schema)
