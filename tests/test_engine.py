@@ -138,6 +138,21 @@ def test_append(spark):
     assert {r.k for r in new} <= {9, 10, 11, 12} and [r.id for r in sorted(new)] == list(range(9, 9 + len(new)))
 
 
+def test_append_numbers_plain_keys_on(spark):
+    """Keys that the database doesn't fill, in a table that has taken all that would be drawn; rules and types that leave no room above still draw."""
+    s = load("CREATE TABLE t (id smallint PRIMARY KEY, n int); CREATE TABLE u (id int PRIMARY KEY CHECK (id BETWEEN 1 AND 12)); CREATE TABLE v (id smallint PRIMARY KEY); CREATE TABLE w (id int PRIMARY KEY);")
+    frames = {"public.t": spark.range(30_001), "public.u": spark.range(1, 9), "public.v": spark.createDataFrame([(1,), (32766,)], "id long"), "public.w": spark.range(5)}
+    frames = {k: df.select(F.col("id").cast("int")) for k, df in frames.items()}
+    made = append(spark, s, frames, Config(rows={"t": 5, "u": 2, "v": 3, "w": 4}, columns={"w.id": {"values": [70, 71, 72, 73, 74, 75]}}, seed=1))
+    ids = {k: sorted(r.id for r in df.collect()) for k, df in made.items()}
+    assert ids["public.t"] == list(range(30_001, 30_006))
+    assert len(ids["public.u"]) == 2 and set(ids["public.u"]) <= {9, 10, 11, 12}
+    assert len(set(ids["public.v"])) == 3 and max(ids["public.v"]) <= 30_000 and 1 not in ids["public.v"]
+    assert len(set(ids["public.w"])) == 4 and set(ids["public.w"]) <= set(range(70, 76))
+    one = append(spark, s, frames, Config(rows={"v": 1}, seed=1))["public.v"].collect()
+    assert [r.id for r in one] == [32_767]
+
+
 def test_graph():
     s = shop()
     assert order(s)[1] == [["main.categories", "main.users"], ["main.products", "main.orders"], ["main.order_items"]]
