@@ -3,6 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions.draw import Draw
 from weftline.functions.spread import Spread
 from weftline.operators import engine
 from weftline.operators.append import append
@@ -153,6 +154,18 @@ def test_append_numbers_plain_keys_on(spark):
     assert [r.id for r in one] == [32_767]
 
 
+def test_append_lends_all_parents(spark):
+    """Parents beyond 100,000 get children too: those that the draws name, by rank of the key."""
+    s = load("CREATE TABLE users (id bigint PRIMARY KEY, name text); CREATE TABLE orders (id serial PRIMARY KEY, user_id bigint NOT NULL REFERENCES users);")
+    n = 130_000
+    users = spark.range(n).select((7 + 3 * F.col("id")).alias("id"), F.lit("x").alias("name")).repartition(5, "id")
+    frames = {"public.users": users, "public.orders": spark.createDataFrame([], "id int, user_id long")}
+    made = append(spark, s, frames, Config(rows={"orders": 300}, seed=7, rng="md5"))["public.orders"]
+    want = spark.range(300).select((F.col("id") + 1).alias("id"), (7 + 3 * Draw(7, "public.orders.fk0", F.col("id")).below(n)).alias("user_id"))
+    rows = sorted(tuple(r) for r in made.select("id", "user_id").collect())
+    assert rows == sorted(tuple(r) for r in want.collect()) and max(u for _, u in rows) > 7 + 3 * 100_000
+
+
 def test_graph():
     s = shop()
     assert order(s)[1] == [["main.categories", "main.users"], ["main.products", "main.orders"], ["main.order_items"]]

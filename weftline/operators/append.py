@@ -13,7 +13,7 @@ from weftline.functions.generators import key_of_partition
 from weftline.operators.engine import Config, Pool, generate, pool_of, synthetic
 from weftline.sources.model import Schema, Table, lookup
 
-#: Rows a parent that isn't grown itself lends as a pool.
+#: Rows of pool(), a bounded pool; append() lends whole parents.
 PARENTS = 100_000
 
 
@@ -69,15 +69,17 @@ def append(spark: SparkSession, schema: Schema, frames: dict[str, DataFrame], co
     """New rows for the tables that config.rows names, none of whose keys are taken.
 
     Grown tables number on from their largest id, also where it is a plain integer key
-    (see numbered); tables that aren't grown lend their
-    first PARENTS rows as parents, and nothing else is generated.
+    (see numbered); tables that aren't grown lend all of their rows as parents, ranked by
+    primary key, and nothing else is generated.
     """
     grown = targets(schema, config.rows)
     pools: dict[str, Pool] = {}
-    for key in {f.parent for k in grown for f in schema.tables[k].foreign} - set(grown):
+    referred: dict[str, set[str]] = {}
+    for f in (f for k in grown for f in schema.tables[k].foreign if f.parent not in grown):
+        referred.setdefault(f.parent, set()).update(f.parent_columns)
+    for key, columns in referred.items():
         t = schema.tables.get(key)
         if t is not None and key in frames:
-            some = frames[key].orderBy(*(t.primary or t.names())).limit(PARENTS)
-            pools[key] = pool_of(some, t, min(PARENTS, frames[key].count()))
+            pools[key] = pool_of(frames[key], t, frames[key].count(), columns=columns)
     model, starts = numbered(schema, frames, grown, config)
     return generate(spark, model, config, only=grown, pools=pools, starts=starts, taken={k: frames[k] for k in grown if k in frames})
